@@ -1 +1 @@
-FLAGSHIP = "p5_found"
+FLAGSHIP = "verdict_by_source"
