@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarazu.functions.fonts import POSITIVE
+from tarazu.session import cut
 
 KAPPA_FLOOR = 0.7
 SIGNAL_TARGET = {
@@ -98,19 +99,21 @@ def sweep(rows: DataFrame, signal: str, steps: int = 20) -> DataFrame:
     """
     target = SIGNAL_TARGET.get(signal)
     hit = F.col("final_label") == target if target else F.col("final_label").isin(*POSITIVE)
-    r = rows.where(F.col(signal).isNotNull()).select(F.col(signal).cast("double").alias("v"), hit.alias("hit"))
+    kept = rows.where(F.col(signal).isNotNull()).select(F.col(signal).cast("double").alias("v"), hit.alias("hit"))
+    # Read once: what follows needs the counts per value several times.
+    r = cut(kept.groupBy("v").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")))
     lo, hi = r.agg(F.min("v")).scalar(), r.agg(F.max("v")).scalar()
     at = lambda i: lo + (hi - lo) * i / steps
     guess = F.floor((F.col("v") - lo) / (hi - lo) * steps).cast("int")
     # The last step whose threshold the value reaches; the guess may be one off by rounding.
     step = F.when(F.col("v") < at(guess), guess - 1).when((guess < steps) & (F.col("v") >= at(guess + 1)), guess + 1).otherwise(guess)
-    counts = r.where(hi > lo).groupBy(step.alias("step")).agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    counts = r.where(hi > lo).groupBy(step.alias("step")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     levels = r.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 0) & (hi > lo)).select(F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)  # over steps + 1 rows
     got = levels.join(counts, "step", "left").select(
         "step", at(F.col("step")).alias("t"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp")
     )
-    got = got.withColumn("fn", r.agg(F.count_if("hit")).scalar() - F.col("tp"))
+    got = got.withColumn("fn", r.agg(F.sum("pos")).scalar() - F.col("tp"))
     return got.select(F.col("step").cast("int").alias("step"), F.round("t", 9).alias("threshold"), "tp", "fp", "fn", *(v.alias(k) for k, v in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()))
 
 

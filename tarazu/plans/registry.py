@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["arm_queries", "audit_queries", "label_queries", "release_queries", "repair_queries", "skew_queries"]
+MODULES = ["arm_queries", "audit_queries", "label_queries", "release_queries", "repair_queries", "skew_queries", "stream_queries"]
 
 
 def _merged(what: str) -> dict:
