@@ -83,11 +83,10 @@ def pages_of(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.posexplode(split).alias("page", "page_text")).withColumn("page", F.col("page") + 1)
 
 
-_MEASURES = ["doc_id", "page", "n_chars", "replacement_chars", "control_chars", F.round("dev_share", 9).alias("dev_share"), "loss"]
-
-
 def page_measure_loss(spark: SparkSession, d: str) -> DataFrame:
-    return s.with_page_measures(pages_of(_docs(spark, d, "doc_id", "text")), "page_text").select(*_MEASURES)
+    return s.with_page_measures(pages_of(_docs(spark, d, "doc_id", "text")), "page_text").select(
+        "doc_id", "page", "n_chars", "replacement_chars", "control_chars", F.round("dev_share", 9).alias("dev_share"), "loss"
+    )
 
 
 def page_hashes(spark: SparkSession, d: str) -> DataFrame:
