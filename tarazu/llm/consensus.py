@@ -20,25 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarazu.functions.labels import same_annotator, same_label
 from tarazu.session import cut
 
 MOST_ANNOTATORS, MOST_LABELS = 1_000_000, 1_000
-_OUTER = "^[\\s\\u00a0]+|[\\s\\u00a0]+$"
-
-
-def same_annotator(c: Column) -> Column:
-    """Annotators without regard to case and outer blanks; empty becomes null."""
-    out = F.lower(F.regexp_replace(c, _OUTER, ""))
-    return F.when(out != "", out)
-
-
-def same_label(c: Column) -> Column:
-    """Labels without regard to case, outer blanks and the separator; empty becomes null."""
-    out = F.regexp_replace(F.upper(F.regexp_replace(c, _OUTER, "")), "[\\s_./\\-]+", "_")
-    return F.when((out != "") & (out != "_"), out)
 
 
 def chi2_quantile(n: np.ndarray, z: float) -> np.ndarray:
@@ -153,7 +141,7 @@ def consensus(v: Votes, rounds: int = 25, alpha: float = 0.05, tolerance: float
         patterns = cut(v.items.groupBy("votes").agg(F.count(F.lit(1)).alias("times")))
         for _ in range(rounds):
             err, n = _round(patterns, k, m, w)
-            new = chi2_quantile(n, z) / np.maximum(err, 0.5)
+            new = chi2_quantile(n, z) / (err + 1.0)  # one error more than seen: nobody is without fault
             new = np.where(n > 0, new, np.median(new[n > 0]) if (n > 0).any() else 1.0)
             done = float(np.abs(new - w).max()) < tolerance
             w = new
