@@ -64,7 +64,8 @@ def stitched_aggregate(
 
 def heavy_keys(df: DataFrame, key: str, order: Sequence[str], share: float, partitions: int | None = None) -> DataFrame:
     """Keys other than null that hold at least ``share`` of all rows (null rows count in the total)."""
-    per_key = stitched_aggregate(df, key, order, partitions=partitions)
+    # One row per key; both the total and the keys come from it, so the input is ranged once.
+    per_key = cut(stitched_aggregate(df, key, order, partitions=partitions))
     total = per_key.agg(F.sum("n")).scalar()
     return per_key.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(share) * total)).select(
         key, "n", (F.col("n") / total).alias("share"), "n_ranges"

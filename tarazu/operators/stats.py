@@ -33,7 +33,8 @@ def kappa(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if not by:
         return kappa(pairs.withColumn("__all", F.lit(1)), ["__all"]).drop("__all")
     by = list(by)
-    cells = pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # One small row per label combination, used several times below: counted once.
+    cells = cut(pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n")))
     sides = cells.select(*by, F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb")), F.struct(F.col("b").alias("label"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb")))).alias("s"))
     marginal = sides.groupBy(*by, "s.label").agg(F.sum("s.na").alias("na"), F.sum("s.nb").alias("nb"))
     chance = marginal.groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
@@ -46,7 +47,7 @@ def kappa(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def kappa_per_class(pairs: DataFrame) -> DataFrame:
     """One-vs-rest kappa of each class; ``n`` counts the pairs where either side has it."""
-    cells = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     total = cells.agg(F.sum("n")).scalar()
     a = cells.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("na"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("both"))
     b = cells.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
@@ -76,7 +77,7 @@ def binary_score(rows: DataFrame, said: Column, truth: Column) -> DataFrame:
 
 def per_class_score(rows: DataFrame) -> DataFrame:
     """Scores of ``detector_label`` for each label that occurs in ``final_label``."""
-    cells = rows.groupBy("detector_label", "final_label").agg(F.count(F.lit(1)).alias("k"))
+    cells = cut(rows.groupBy("detector_label", "final_label").agg(F.count(F.lit(1)).alias("k")))
     hit = F.coalesce(F.col("detector_label") == F.col("final_label"), F.lit(False))
     truth = cells.groupBy(F.col("final_label").alias("label")).agg(F.sum("k").alias("n"), F.sum(F.when(hit, F.col("k")).otherwise(0)).alias("tp"))
     said = cells.groupBy(F.col("detector_label").alias("label")).agg(F.sum("k").alias("said"))
@@ -123,6 +124,7 @@ def stratified_estimate(strata: DataFrame) -> DataFrame:
     Each stratum weighs by its size; the finite-population correction applies. No strata
     give one row of zeros.
     """
+    strata = cut(strata)  # one row per stratum
     total = strata.agg(F.sum("stratum_size")).scalar()
     share, p = F.col("stratum_size") / total, F.col("positive") / F.col("drawn")
     fpc = F.when(F.col("stratum_size") > 0, 1 - F.col("drawn") / F.col("stratum_size")).otherwise(F.lit(0.0))
