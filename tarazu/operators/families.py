@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarazu.functions import charclass as cc
+from tarazu.session import cut
 
 MIN_SIGNATURE_CHARS, THRESHOLD = 60, 0.80
 CONVERTIBLE = ("LEGACY_8BIT", "LEGACY_ASCII", "LEGACY_SYMBOL")
@@ -48,87 +50,77 @@ def nearest(sig: DataFrame, ident: str, cents: DataFrame, family: str) -> DataFr
     return c.groupBy(ident).agg(best.alias("x")).select(ident, "x.*")
 
 
-def _greedy(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[list[int], list[float]]:
-    """Cluster and similarity of each vector in order: the first cluster whose centroid is near enough takes it."""
-    n, width = vectors.shape
-    cents, sums, counts = np.zeros((16, width)), np.zeros((16, width)), np.zeros(16)
-    norms, k = np.zeros(16), 0
-    assigned, sims = [], []
-    for i in range(n):
-        x, w = vectors[i], weights[i]
-        found = -1
-        sim = 1.0
-        size = math.sqrt(float(x @ x))
-        if k and size:
-            s = (cents[:k] @ x) / np.maximum(norms[:k] * size, 1e-300)
-            hits = np.nonzero(s >= threshold)[0]
+class _Greedy:
+    """The running clusters of the single pass: the first whose centroid is near enough takes the next signature."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.k = threshold, 0
+        self.sign: dict[str, int] = {}
+        self.sums, self.norms = np.zeros((16, 256)), np.zeros(16)
+        self.leaders: list = []
+
+    def columns(self, signs: list[str]) -> np.ndarray:
+        """The column of each sign; signs not met before get new ones."""
+        at = np.array([self.sign.setdefault(ch, len(self.sign)) for ch in signs], np.int64)
+        if len(self.sign) > (width := self.sums.shape[1]):
+            self.sums = np.pad(self.sums, ((0, 0), (0, max(len(self.sign) - width, width))))
+        return at
+
+    def add(self, item, at: np.ndarray, freq: np.ndarray) -> tuple[int, float]:
+        """The cluster of the next signature and its similarity to the centroid it met."""
+        size, found, sim = math.sqrt(float(freq @ freq)), -1, 1.0
+        if self.k and size:
+            # A cluster's sum points where its centroid points.
+            s = (self.sums[: self.k, at] @ freq) / np.maximum(self.norms[: self.k] * size, 1e-300)
+            hits = np.nonzero(s >= self.threshold)[0]
             if len(hits):
                 found, sim = int(hits[0]), float(s[hits[0]])
         if found < 0:
-            if k == len(cents):
-                cents, sums = np.vstack((cents, np.zeros_like(cents))), np.vstack((sums, np.zeros_like(sums)))
-                counts, norms = np.append(counts, np.zeros(k)), np.append(norms, np.zeros(k))
-            found, k = k, k + 1
-        sums[found] += x * w
-        counts[found] += w
-        cents[found] = sums[found] / counts[found]
-        norms[found] = math.sqrt(float(cents[found] @ cents[found]))
-        assigned.append(found)
-        sims.append(sim)
-    return assigned, sims
+            if self.k == len(self.norms):
+                self.sums = np.pad(self.sums, ((0, self.k), (0, 0)))
+                self.norms = np.pad(self.norms, (0, self.k))
+            found, self.k = self.k, self.k + 1
+            self.leaders.append(item)
+        row = self.sums[found]
+        row[at] += freq
+        self.norms[found] = math.sqrt(float(row @ row))
+        return found, sim
 
 
 def greedy_families(sig: DataFrame, ident: str, threshold: float = THRESHOLD, block: int = 4000) -> DataFrame:
     """``ident, family, similarity`` by greedy single-pass clustering in the order of the identifier.
 
-    Up to ``block`` signatures are clustered in one pass, in order, as the method asks.
-    More are clustered in blocks of consecutive identifiers, and the blocks' clusters
-    (weighted by their size) in the same way again, until one block remains; so no task
-    sees more than ``block`` signatures. Families are numbered by size, then by first
-    member.
+    Every signature goes to the first cluster whose running centroid is near enough, at
+    any number of signatures: they are sorted (on disk where they are many) and streamed
+    past the centroids by one task, since each decision depends on all before it. The
+    task holds the centroids and ``block`` signatures at a time, which changes nothing in
+    the result. Families are numbered by size, then by first member.
     """
-    maps = sig.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("ch", "freq"))).alias("sig")).withColumn("weight", F.lit(1.0))
-    items = maps.select(F.col(ident).alias("item"), "sig", "weight")
+    # Signs in order, so that sums do not depend on how the rows were gathered.
+    signs = F.array_sort(F.collect_list(F.struct("ch", "freq")))
+    items = sig.groupBy(ident).agg(signs.alias("sig")).select(F.col(ident).alias("item"), F.col("sig.ch").alias("ch"), F.col("sig.freq").alias("freq"))
     kind = dict(items.dtypes)["item"]
-    path: DataFrame | None = None
-    while True:
-        n = items.count()
-        blocks = max(1, math.ceil(n / block))
-        ranged = items.withColumn("block", F.lit(0)) if blocks == 1 else items.repartitionByRange(blocks, "item").withColumn("block", F.spark_partition_id())
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("item").reset_index(drop=True)
-            signs = {ch: i for i, ch in enumerate(sorted({c for m in pdf["sig"] for c in m}))}
-            v = np.zeros((len(pdf), len(signs)))
-            for i, m in enumerate(pdf["sig"]):
-                for ch, f in m.items():
-                    v[i, signs[ch]] = f
-            w = pdf["weight"].to_numpy(float)
-            assigned, sims = _greedy(v, w, threshold)
-            first: dict[int, int] = {}
-            for i, c in enumerate(assigned):
-                first.setdefault(c, i)
-            rows = []
-            order = list(signs)
-            for i, c in enumerate(assigned):
-                mine = None
-                if first[c] == i:
-                    at = np.array(assigned) == c
-                    cent = (v[at] * w[at, None]).sum(axis=0) / w[at].sum()
-                    mine = {order[j]: float(cent[j]) for j in np.nonzero(cent)[0]}
-                rows.append((pdf["item"][i], pdf["item"][first[c]], sims[i], mine, float(w[np.array(assigned) == c].sum()) if mine is not None else None))
-            return pd.DataFrame(rows, columns=["item", "leader", "similarity", "centroid", "size"])
-
-        got = ranged.groupBy("block").applyInPandas(run, f"item {kind}, leader {kind}, similarity double, centroid map<string,double>, size double").persist()
-        step = got.select(F.col("item").alias("member"), F.col("leader").alias("up"), "similarity")
-        path = step if path is None else path.join(step.select(F.col("member").alias("up"), F.col("up").alias("top")), "up").select("member", F.col("top").alias("up"), "similarity")
-        if blocks == 1:
-            break
-        items = got.where("size IS NOT NULL").select(F.col("leader").alias("item"), F.col("centroid").alias("sig"), F.col("size").alias("weight"))
-    sizes = path.groupBy("up").agg(F.count(F.lit(1)).alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pass_ = _Greedy(threshold)
+        for whole in batches:
+            for lo in range(0, len(whole), block):
+                b = whole.slice(lo, block)
+                chars = b.column(1).flatten().dictionary_encode()
+                at = pass_.columns(chars.dictionary.to_pylist())[chars.indices.to_numpy()]
+                freq = b.column(2).flatten().to_numpy()
+                ends = np.cumsum([0, *b.column(1).value_lengths().to_pylist()])
+                names = b.column(0).to_pylist()
+                got = [pass_.add(names[i], at[ends[i] : ends[i + 1]], freq[ends[i] : ends[i + 1]]) for i in range(len(b))]
+                leaders = pa.array([pass_.leaders[c] for c, _ in got], b.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([b.column(0), leaders, pa.array([x for _, x in got], pa.float64())], ["item", "leader", "similarity"])
+
+    ordered = items.repartition(1).sortWithinPartitions(F.asc_nulls_last("item"))
+    path = cut(ordered.mapInArrow(run, f"item {kind}, leader {kind}, similarity double"))
+    sizes = path.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
     # Ranks run over the families, one row each.
-    named = sizes.withColumn("family", F.format_string("fam-%02d", F.row_number().over(Window.orderBy(F.desc("size"), "up"))))
-    return path.join(named, "up").select(F.col("member").alias(ident), "family", F.round("similarity", 9).alias("similarity"))
+    named = sizes.withColumn("family", F.format_string("fam-%02d", F.row_number().over(Window.orderBy(F.desc("size"), "leader"))))
+    return path.join(named, "leader").select(F.col("item").alias(ident), "family", F.round("similarity", 9).alias("similarity"))
 
 
 def family_slug(rank: str, top_name: str):

@@ -87,6 +87,43 @@ def test_signatures_and_clusters(spark):
     assert len(set(blocks.values())) == 2 and len({blocks[i] for i in range(1, 40, 2)}) == 1
 
 
+def single_pass(signatures, threshold):
+    """The rule as written down: the first cluster whose running centroid is near enough, in the order given."""
+    clusters, out = [], {}
+    for item, sig in signatures:
+        for cl in clusters:
+            dot = sum(v * cl["sum"].get(ch, 0.0) for ch, v in sig.items())
+            sim = dot / (sum(v * v for v in sig.values()) * sum(v * v for v in cl["sum"].values())) ** 0.5
+            if sim >= threshold:
+                for ch, v in sig.items():
+                    cl["sum"][ch] = cl["sum"].get(ch, 0.0) + v
+                break
+        else:
+            clusters.append(cl := {"leader": item, "sum": dict(sig)})
+            sim = 1.0
+        out[item] = cl["leader"], sim
+    return out
+
+
+def test_clusters_follow_the_single_pass_at_any_size(spark):
+    rng = random.Random(8)
+    signs = "abcdefghijklmnop"
+    rows = [(i, "".join(rng.choices(signs[(at := rng.randrange(10)) : at + rng.randrange(2, 7)], k=80))) for i in range(120)]
+    sig = long_signatures(rows, spark)
+    by: dict = {}
+    for r in sorted(sig.collect(), key=lambda r: (r["i"], r["ch"])):
+        by.setdefault(r["i"], {})[r["ch"]] = r["freq"]
+    want = single_pass(sorted(by.items()), fa.THRESHOLD)
+    for block in (9, 4000):
+        got = {r["i"]: r for r in fa.greedy_families(sig, "i", block=block).collect()}
+        assert got.keys() == want.keys()
+        leader = {}
+        for i in sorted(got):
+            assert leader.setdefault(got[i]["family"], want[i][0]) == want[i][0], i
+            assert abs(got[i]["similarity"] - want[i][1]) < 1e-6, i
+        assert len(leader) == len({x for x, _ in want.values()})
+
+
 def test_learning_finds_a_known_cipher(spark):
     rng = random.Random(11)
     cipher = dict(zip("कखगघचछजझटठडतथदधनपबमयरलवसह", "bcdfghjklmnpqrstvwxyzBCDFGHJ"))
