@@ -45,18 +45,21 @@ def kappa(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return both.select(*by, "n", F.round(observed, 6).alias("agreement"), _kappa(observed, expected).alias("kappa"))
 
 
-def kappa_per_class(pairs: DataFrame) -> DataFrame:
-    """One-vs-rest kappa of each class; ``n`` counts the pairs where either side has it."""
-    cells = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    total = cells.agg(F.sum("n")).scalar()
-    a = cells.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("na"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("both"))
-    b = cells.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
+def kappa_per_class(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: one-vs-rest kappa of each class; ``n`` counts the pairs where either side has it."""
+    if not by:
+        return kappa_per_class(pairs.withColumn("__all", F.lit(1)), ["__all"]).drop("__all")
+    by = list(by)
+    cells = cut(pairs.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    total = cells.groupBy(*by).agg(F.sum("n").alias("total"))
+    a = cells.groupBy(*by, F.col("a").alias("label")).agg(F.sum("n").alias("na"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("both"))
+    b = cells.groupBy(*by, F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
     z = F.lit(0).cast("long")
-    got = a.join(b, "label", "full_outer").select("label", *(F.coalesce(c, z).alias(c) for c in ("na", "nb", "both")))
-    n = total.cast("double")
+    got = a.join(b, [*by, "label"], "full_outer").select(*by, "label", *(F.coalesce(c, z).alias(c) for c in ("na", "nb", "both"))).join(total, by)
+    n = F.col("total").cast("double")
     observed = (n - F.col("na") - F.col("nb") + 2 * F.col("both")) / n
     expected = (F.col("na") / n) * (F.col("nb") / n) + ((n - F.col("na")) / n) * ((n - F.col("nb")) / n)
-    got = got.select("label", (F.col("na") + F.col("nb") - F.col("both")).alias("n"), _kappa(observed, expected).alias("kappa"))
+    got = got.select(*by, "label", (F.col("na") + F.col("nb") - F.col("both")).alias("n"), _kappa(observed, expected).alias("kappa"))
     return got.withColumn("below_floor", F.coalesce(F.col("kappa") < KAPPA_FLOOR, F.lit(False)))
 
 

@@ -161,14 +161,26 @@ def kappa_overall(spark: SparkSession, d: str) -> DataFrame:
     return st.kappa(_pairs(spark, d), ["other"])
 
 
-def kappa_intra(spark: SparkSession, d: str) -> DataFrame:
-    """Every annotator's second round against their first."""
+def _round_pairs(spark: SparkSession, d: str) -> DataFrame:
     j = _judgements(spark, d)
     a = j.where("round = 1").select("obs_id", "annotator", F.col("label").alias("a"))
-    return st.kappa(a.join(j.where("round = 2").select("obs_id", "annotator", F.col("label").alias("b")), ["obs_id", "annotator"]), ["annotator"])
+    return a.join(j.where("round = 2").select("obs_id", "annotator", F.col("label").alias("b")), ["obs_id", "annotator"])
+
+
+def kappa_intra(spark: SparkSession, d: str) -> DataFrame:
+    """Every annotator's second round against their first."""
+    return st.kappa(_round_pairs(spark, d), ["annotator"])
+
+
+def kappa_per_class_all(spark: SparkSession, d: str) -> DataFrame:
+    """Per class: one annotator against each other one in round 1, and every annotator's second round against their first."""
+    inter = _pairs(spark, d).select(F.lit(ANNOTATOR).alias("annotator"), "other", F.lit("between").alias("kind"), "a", "b")
+    intra = _round_pairs(spark, d).select("annotator", F.col("annotator").alias("other"), F.lit("rounds").alias("kind"), "a", "b")
+    return st.kappa_per_class(inter.unionByName(intra), ["kind", "annotator", "other"])
 
 
 def kappa_per_class(spark: SparkSession, d: str) -> DataFrame:
+    """One pair of annotators, as its SQL says; ``kappa_per_class_all`` covers every pair and both rounds."""
     return st.kappa_per_class(_pairs(spark, d).where(F.col("other") == OTHER))
 
 
@@ -204,7 +216,7 @@ QUERIES = {
     for f in (
         stratified_sample, per_source_capped_sample, sample_frame, tiered_selection, discard_and_redraw, pending_anti_join, deep_semi_join, next_card_round2,
         adjudication_verdicts, adjudication_next_state, next_disagreement, adjudication_progress, labelling_progress, label_distribution, judgement_validation,
-        document_truth, kappa_overall, kappa_intra, kappa_per_class, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
+        document_truth, kappa_overall, kappa_intra, kappa_per_class, kappa_per_class_all, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
     )
 } | {name: _sweep(x) for name, x in SWEEPS.items()}
 

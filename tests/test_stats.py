@@ -4,6 +4,7 @@ from tarazu.operators import labels as wf
 from tarazu.operators import sampling as sp
 from tarazu.operators import stats as st
 from tarazu.operators.audit import macro_pooled
+from tarazu.plans import label_queries as lq
 from pyspark.sql import functions as F
 
 
@@ -101,3 +102,23 @@ def test_draw_contract(spark):
     assert {r["obs_id"] for r in again.collect()} == {r["obs_id"] for r in got}
     other = sp.stratified_draw(df, "stratum", "obs_id", {"s": 50, "t": 100}, 2)
     assert {r["obs_id"] for r in other.collect()} != {r["obs_id"] for r in got}
+
+
+def test_kappa_per_class_covers_every_annotator_and_both_rounds(spark, tmp_path):
+    labels = ["CORRECT", "LEGACY_8BIT", "LEGACY_ASCII"]
+    say = {("ann-01", 1): lambda i: labels[i % 3], ("ann-02", 1): lambda i: labels[i % 3], ("ann-03", 1): lambda i: labels[i // 2 % 3], ("ann-03", 2): lambda i: labels[(i + i % 2) % 3]}
+    rows = [(f"{who}{rnd}{i}", i, "gt-v1", who, rnd, f(i), None, None, None) for (who, rnd), f in say.items() for i in range(30)]
+    kinds = "annotation_id string, obs_id long, sample_id string, annotator string, round int, label string, script string, confidence string, annotated_at timestamp"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/annotation.parquet")
+    got = {(r["kind"], r["annotator"], r["other"], r["label"]): r for r in lq.kappa_per_class_all(spark, str(tmp_path)).collect()}
+    want = {("between", "ann-01", "ann-02"): (("ann-01", 1), ("ann-02", 1)), ("between", "ann-01", "ann-03"): (("ann-01", 1), ("ann-03", 1)), ("rounds", "ann-03", "ann-03"): (("ann-03", 1), ("ann-03", 2))}
+    assert set(got) == {(*k, x) for k in want for x in labels}
+    for k, (f, g) in want.items():
+        for x in labels:
+            pairs = [(say[f](i) == x, say[g](i) == x) for i in range(30)]
+            o = sum(a == b for a, b in pairs) / 30
+            p, q = sum(a for a, _ in pairs) / 30, sum(b for _, b in pairs) / 30
+            e = p * q + (1 - p) * (1 - q)
+            r = got[(*k, x)]
+            assert abs(r["kappa"] - (o - e) / (1 - e)) < 1e-5 and r["n"] == sum(a or b for a, b in pairs) and r["below_floor"] == (r["kappa"] < 0.7)
+    assert any(r["below_floor"] for r in got.values())
