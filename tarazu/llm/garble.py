@@ -43,6 +43,7 @@ BOTH_COST = 10
 #: Bytes per 100 characters up to which a description counts as short.
 SHORT = 58
 CHUNK = 6  # words looked at together where a stretch is not of one kind
+FEW = 3  # words looked at together for where a run of codes begins and ends
 MOST_STEPS = 4
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 DEVA = re.compile("[ऀ-ॿ]")
@@ -184,6 +185,8 @@ class Describer:
         self.glyphs = {k: (ready(v), frozenset(model.glyph_signs[k])) for k, v in sorted(model.glyphs.items())}
         self.families = [Family(k, v) for k, v in sorted(model.families.items())]
         self.decoders = decoders()
+        self.frame = min(len(c.compress(b"")) for c in every)
+        self.seen: dict[str, tuple[int, dict[str, int]]] = {}
 
     def length(self, text: str) -> int:
         """The shortest description of a text as sound text of some language, in bytes."""
@@ -271,16 +274,111 @@ class Describer:
         return total, " ".join(out), tuple(dict.fromkeys(met)), whole
 
     def _even(self, words: list[str]) -> list[tuple[int, str, str, str]]:
-        """Readings of the stretch as one, if one of them is short for its length; else of chunks of a few words."""
+        """Readings of the stretch as one, of chunks of a few words, or of runs of codes and what lies between them.
+
+        Chunks are tried where no reading of the whole is short for its length; runs of
+        codes everywhere, since a long sound stretch hides them in its average.
+        """
         one = " ".join(words)
         n, got, family = self.reading(one)
-        if len(words) <= CHUNK or n * 100 <= SHORT * len(one):
-            return [(n, got, family, one)]
-        parts = [words[k : k + CHUNK] for k in range(0, len(words), CHUNK)]
-        if len(parts[-1]) < CHUNK // 2:
-            parts[-2:] = [parts[-2] + parts[-1]]
-        split = [(*self.reading(p), p) for p in map(" ".join, parts)]
-        return [(n, got, family, one)] if n <= sum(x[0] for x in split) else split
+        whole = [(n, got, family, one)]
+        if len(words) > CHUNK and n * 100 > SHORT * len(one):
+            parts = [words[k : k + CHUNK] for k in range(0, len(words), CHUNK)]
+            if len(parts[-1]) < CHUNK // 2:
+                parts[-2:] = [parts[-2] + parts[-1]]
+            split = [(*self.reading(p), p) for p in map(" ".join, parts)]
+            if n > sum(x[0] for x in split):
+                return split
+        return whole if family else self._apart(words, n) or whole
+
+    def _by_family(self, part: str) -> dict[str, int]:
+        """Description lengths by the families that have the part's signs."""
+        raw = part.encode("utf-8", "surrogatepass")
+        out = {k: len(c.compress(raw)) for k, (c, signs) in self.glyphs.items() if _covers(signs, part)}
+        for f in self.families:
+            if _covers(f.signs, part) and DEVA.search(to := f.convert(part)):
+                out[f.name] = self.length(to)
+        return out
+
+    def _word(self, word: str) -> tuple[int, dict[str, int]]:
+        """Description length of a word as it stands, and those by the families that have its signs."""
+        got = self.seen.get(word)
+        if got is None:
+            now, by = self.length(word), self._by_family(word) if word else {}
+            if len(self.seen) >= 100_000:
+                self.seen.clear()
+            got = self.seen[word] = now, by
+        return got
+
+    def _runs(self, words: list[str]) -> list[tuple[int, int]]:
+        """Runs of words that one family describes better, by the cheapest sequence of sound text and families."""
+        costs = [self._word(w) for w in words]
+        # Words of ASCII codes say too little alone; a few together do.
+        for i in range(len(words) - FEW + 1):
+            part = " ".join(words[i : i + FEW])
+            now = self.length(part)
+            if (now - self.frame) * 100 > SHORT * len(part):
+                for k, n in self._by_family(part).items():
+                    if n < now:
+                        for j in range(i, i + FEW):
+                            alone, by = costs[j]
+                            costs[j] = alone, by | {k: min(by.get(k, 1 << 30), alone - (now - n) / FEW)}
+        if not any(n < now for now, by in costs for n in by.values()):
+            return []
+        paths: dict[str, float] = {"": 0}
+        back: list[dict[str, str]] = []
+        for now, by in costs:
+            least = min(paths, key=lambda k: (paths[k], k))
+            step, came = {}, {}
+            for state, n in (("", now), *by.items()):
+                switch = paths[least] + (FAMILY_COST if state else 0)
+                stay = paths.get(state, 1 << 30)
+                step[state], came[state] = (stay + n, state) if stay <= switch else (switch + n, least)
+            paths = step
+            back.append(came)
+        state = min(paths, key=lambda k: (paths[k], k))
+        out: list[tuple[int, int]] = []
+        end = len(words)
+        for i in range(len(words) - 1, -1, -1):
+            before = back[i][state]
+            if before != state or i == 0:
+                if state:
+                    out.append((i, end))
+                end = i
+            state = before
+        return out[::-1]
+
+    def _between(self, words: list[str], at: int, lo: int, hi: int) -> tuple:
+        """(description length, lo, hi, reading of the run, lengths before and after) with a run of codes set apart; all pieces stand in one frame."""
+        read = self.reading(" ".join(words[lo:hi]))
+        a, b = (self.length(" ".join(x)) if x else 0 for x in (words[at:lo], words[hi:]))
+        n = a + read[0] + b - self.frame * ((lo > at) + (hi < len(words)))
+        return n if read[2] else 1 << 30, lo, hi, read, a, b
+
+    def _apart(self, words: list[str], n: int) -> list[tuple[int, str, str, str]]:
+        """The stretch divided at the runs of codes that make its description shorter; empty if none does."""
+        out: list[tuple[int, str, str, str]] = []
+        at, rest = 0, n  # what follows the last run taken, and its description
+        for lo, hi in self._runs(words):
+            if hi <= at:
+                continue
+            best = self._between(words, at, max(lo, at), hi)
+            while True:  # the ends may lie a few words further in or out
+                lo, hi = best[1:3]
+                ends = [(lo + k, hi) for k in range(-FEW, FEW + 1)] + [(lo, hi + k) for k in range(-FEW, FEW + 1)]
+                tried = min((self._between(words, at, x, y) for x, y in ends if at <= x < y <= len(words)), key=lambda t: t[0])
+                if tried[0] >= best[0]:
+                    break
+                best = tried
+            total, lo, hi, read, a, b = best
+            if read[2] and total + MARGIN < rest:
+                left = " ".join(words[at:lo])
+                out += [(a, left, "", left)] * (lo > at) + [(*read, " ".join(words[lo:hi]))]
+                at, rest = hi, b
+        if out and at < len(words):
+            tail = " ".join(words[at:])
+            out.append((rest, tail, "", tail))
+        return [(x[0] - self.frame * (i > 0), *x[1:]) for i, x in enumerate(out)]
 
     def examine(self, text: str) -> tuple[str, str, str | None] | None:
         """(kind, chain, restored or None) for an affected text, None for a sound one."""

@@ -78,6 +78,18 @@ def test_glyph_codes(look):
     assert (kind, restored) == ("glyph codes", None)
 
 
+@pytest.mark.parametrize("table,family", [(RULES["f1"], "f1"), (UNRULED, "f9")])
+def test_codes_inside_long_english(look, table, family):
+    rng = random.Random(12)
+    for n in (6, 10):
+        for _ in range(5):
+            before, after, codes = english(rng) + " " + english(rng), english(rng) + " " + english(rng), " ".join(rng.choices(DEVA, k=n))
+            assert look.examine(f"{before} {after}") is None
+            kind, families, restored = look.examine(f"{before} {coded(codes, table)} {after}")
+            assert (kind, families) == ("glyph codes", family)
+            assert restored == (f"{before} {codes} {after}" if family == "f1" else None)
+
+
 def test_other_scripts_are_sound(look):
     for t in ("Το έγγραφο κατατέθηκε στην υπηρεσία πριν από τις δέκα", "Документ подан в отдел до десятого мая", "இந்த ஆவணம் துறைக்கு அனுப்பப்பட்டது", "この文書は部署に提出されました", "Über die Größe der Straße müßte später öfter geübt werden", "€ 5 £ 6 ¥ 7 § 8 ° ± µ"):
         assert look.examine(t) is None, t
