@@ -11,11 +11,6 @@ from tarazu.session import spread, table
 COLUMNS = ["human_text", "ocr_text"]
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "transcription").where("status = 'done'").select("transcription_id", *COLUMNS)
-    return visual_form(spread(rows, "transcription_id"), COLUMNS)
-
-
 def _plain(c: str):
     return F.regexp_replace(F.regexp_replace(F.col(c), "[ \\t\\r\\n]+", " "), "^ | $", "")
 
@@ -27,8 +22,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Both texts of every done row in one form."""
-    return _forms(spark, d).select("transcription_id", "human_text_form", "ocr_text_form").distinct()
+    """Both texts of every row in one form."""
+    rows = table(spark, d, "transcription").select("transcription_id", *COLUMNS)
+    return visual_form(spread(rows, "transcription_id"), COLUMNS).select("transcription_id", "human_text_form", "ocr_text_form").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}

@@ -1,14 +1,18 @@
 """One consistent form for text that looks the same but differs in its characters.
 
-The table (``table_form``) knows which signs a reader cannot tell apart: encodings of
-one sign, widths, kinds of blanks and hyphens, signs that draw nothing, look-alike
-letters. On top of it works a vocabulary: the frequent canonical spellings of the
-corpus, kept in one trie per script. A token is led through a trie by a weighted edit
-automaton in which replacing look-alikes and skipping ignorable signs costs nothing
+The vocabulary holds the frequent proper spellings of the corpus, words of one script in
+composed characters, in one trie per script. A token is led through a trie by a weighted
+edit automaton in which replacing look-alikes and skipping ignorable signs costs nothing
 and every other edit costs 1; with the cost limit 0 (the default) it is matched exactly
-when it looks like a vocabulary word, and takes that word's spelling. Tokens without a
-match are normalized by the table, so every token is covered whatever the vocabulary,
-and equal readings always end in equal characters.
+when it looks like a vocabulary word, and takes that word's spelling. So the corpus
+decides how letters that look alike are written: of several spellings that look the
+same, one Latin and one Cyrillic say, the most frequent one is canonical.
+
+Tokens without a match are normalized by the table: encodings of one sign, widths, kinds
+of blanks and hyphens and signs that draw nothing have one form each, and look-alike
+letters follow the script of the token's other letters, or are Latin if there are none.
+Both ways give one spelling to all tokens that look the same, so equal readings always
+end in equal characters.
 
 Letter case, raised figures, fractions, the script of figures and a joiner directly
 after a virama are visible and therefore kept.
@@ -80,11 +84,11 @@ def char_form(ch: str) -> str:
     return "".join(map(char_form, whole)) if same else ch
 
 
-def table_form(token: str) -> str:
-    """The canonical characters of a token by the table alone. Idempotent.
+def look(token: str) -> str:
+    """What a reader sees: the same characters for all tokens that look the same, look-alikes as Latin letters.
 
-    The empty token stays empty. Blanks inside become single spaces, so whole texts
-    may be passed as well; joiners stay only directly after a virama.
+    Idempotent. The empty token stays empty, blanks inside become single spaces,
+    joiners stay only directly after a virama.
     """
     if token.isascii() and token.isalnum():
         return token
@@ -104,17 +108,72 @@ def table_form(token: str) -> str:
     return unicodedata.normalize("NFC", form) if not form.isascii() else form
 
 
+#: Script -> Latin letter -> the letter of the script that looks like it.
+COUNTERPARTS = {
+    "cyrl": {b: a for a, b in LOOK_ALIKES.items() if "\u0400" <= a <= "\u052f"},
+    "grek": {b: a for a, b in LOOK_ALIKES.items() if "\u0370" <= a <= "\u03ff"},
+}
+_AMBIGUOUS = frozenset(x for table in COUNTERPARTS.values() for x in table)
+
+
+def _letter_script(ch: str) -> str:
+    """The script of a letter that looks like no letter of another script; "" for all other signs."""
+    if ch in _AMBIGUOUS or not ch.isalpha():
+        return ""
+    return "latn" if ch < "\u0250" else "grek" if "\u0370" <= ch <= "\u03ff" or "\u1f00" <= ch <= "\u1fff" else "cyrl" if "\u0400" <= ch <= "\u052f" else ""
+
+
+def _written(parts: str, script: str) -> str:
+    table = COUNTERPARTS[script]
+    return unicodedata.normalize("NFC", "".join(table.get(ch, ch) for ch in parts))
+
+
+def spellings(seen: str) -> tuple[str, ...]:
+    """The proper spellings of a look, the table's choice first.
+
+    A look with letters that belong to one script only is written in that script; one
+    without such letters may be written in any script that has all of its letters.
+    """
+    if seen.isascii() and not any(ch in _AMBIGUOUS for ch in seen):
+        return (seen,)
+    parts = unicodedata.normalize("NFD", seen)
+    scripts = {x for x in map(_letter_script, parts) if x}
+    if len(scripts) > 1 or scripts == {"latn"}:
+        return (seen,)
+    if scripts:
+        return (_written(parts, *scripts),)
+    letters = [ch for ch in parts if ch in _AMBIGUOUS]
+    return (seen, *(_written(parts, k) for k, table in COUNTERPARTS.items() if letters and all(ch in table for ch in letters)))
+
+
+def table_form(token: str) -> str:
+    """The canonical characters of a token by the table alone. Idempotent."""
+    return spellings(look(token))[0]
+
+
+def is_proper(token: str) -> bool:
+    """Written in composed characters of one script, without signs that draw nothing."""
+    return token in spellings(look(token))
+
+
 class VocabularyTries:
-    """One trie per script over canonical spellings, searched by a weighted edit automaton."""
+    """One trie per script over the vocabulary, searched by a weighted edit automaton.
+
+    The edges are looks, so that all spellings of a word end in one node. It keeps the
+    first of them: ``words`` come by falling frequency.
+    """
 
     def __init__(self, words: Iterable[str], max_cost: int = 0):
         self.max_cost = max_cost
         self.roots: dict[str, dict] = {}
+        self.canonical: set[str] = set()
         for w in words:
+            seen = look(w)
             node = self.roots.setdefault(self._script(w), {})
-            for ch in w:
+            for ch in seen:
                 node = node.setdefault(ch, {})
-            node[""] = w
+            if node.setdefault("", w) == w:
+                self.canonical.add(w)
         # Sequences are matched as edges that consume several characters at no cost.
         self.starts: dict[str, list[tuple[str, str]]] = {}
         for a, b in SEQUENCES.items():
@@ -187,14 +246,13 @@ class Canonicalizer:
     REMEMBER = 300_000
 
     def __init__(self, words: Iterable[str], max_cost: int = 0):
-        self.words = frozenset(words)
-        self.tries = VocabularyTries(self.words, max_cost)
+        self.tries = VocabularyTries(words, max_cost)
         self.known: dict[str, str] = {}
 
     def token(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
-            got = token if token in self.words else self.tries.match(token)
+            got = token if token in self.tries.canonical else self.tries.match(token)
             if got is None:
                 got = table_form(token)
             if len(self.known) >= self.REMEMBER:
@@ -212,20 +270,20 @@ BLANK_CLASS = "[\\u0009-\\u000d\\u001c-\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u20
 
 
 def vocabulary(df: DataFrame, columns: list[str], size: int, min_count: int = 2) -> list[str]:
-    """The ``size`` most frequent tokens that are canonical spellings already.
+    """The ``size`` most frequent tokens that are proper spellings, by falling frequency.
 
     Counts run over all rows; only the ``size`` winners reach the driver, which bounds
     what is sent to the executors. Tokens outside are normalized by the table.
     """
 
     @F.pandas_udf(T.BooleanType())
-    def canonical(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda x: table_form(x) == x)
+    def proper(tokens: pd.Series) -> pd.Series:
+        return tokens.map(is_proper)
 
     texts = df.select(F.explode(F.array(*(F.col(f"`{c}`").cast("string") for c in columns))).alias("t")).where(F.col("t").isNotNull())
     tokens = texts.select(F.explode(F.split("t", BLANK_CLASS)).alias("token")).where(F.length("token").between(2, 64))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    top = counts.where(canonical("token")).orderBy(F.desc("n"), "token").limit(size)
+    top = counts.where(proper("token")).orderBy(F.desc("n"), "token").limit(size)
     return [r[0] for r in top.select("token").collect()]
 
 
@@ -235,6 +293,7 @@ def visual_form(df: DataFrame, columns: list[str], vocabulary_size: int = 50_000
     Null stays null, the empty text and a text of blanks become empty. All rows and
     columns are kept, repeated rows too; a result column that exists already is
     replaced. Texts are not shuffled: one job counts tokens, then each row is mapped.
+    Of equally frequent spellings that look the same the smaller one is canonical.
     """
     words = vocabulary(df, columns, vocabulary_size)
     shared = df.sparkSession.sparkContext.broadcast((words, max_cost))
