@@ -56,17 +56,63 @@ def test_against_brute_force(spark, seed):
     assert got == want and len(want) > 20
 
 
-def test_without_the_sent_signatures(spark, monkeypatch):
+def test_items_in_several_blocks(spark, monkeypatch):
     docs, items = corpus(3)
-    monkeypatch.setattr(ct, "MOST_SIGNATURES", 5)
+    monkeypatch.setattr(ct, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(ct, "MOST_MATCHES", 20)
     assert {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items).collect()} == brute(docs, items, 12)
 
 
-def test_short_items_have_their_own_partitions(spark):
+def test_short_items(spark):
     docs = [(1, "zero one two three four five six seven"), (2, "one two three four"), (3, "two three four five six x")]
     items = [(10, "one two three four five six"), (11, "two three four five six"), (12, "four words are few")]
-    got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items, short_items=True).collect()}
-    assert got == {(1, 10), (1, 11), (3, 11)}
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in found(spark, docs, items, threshold=1.0).collect()}
+    assert got == {(1, 10): 1.0, (1, 11): 1.0, (3, 11): 1.0}
+    assert {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items, threshold=0.5).collect()} == {(1, 10), (1, 11), (3, 11), (3, 10)}
+
+
+def shares(docs, items):
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    held = {i: grams(words(t)) for i, t in items}
+    for d, t in docs:
+        g = grams(words(t))
+        for i, own in held.items():
+            if own:
+                yield d, i, len(own & g) / len(own)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_recall_of_edited_passages(spark, threshold):
+    """Whole items with words replaced, dropped and added in long documents."""
+    rng = random.Random(6)
+    items = [(i, rng.choices(VOCAB, k=rng.choice([8, 20, 35, 70, 105, 300]))) for i in range(120)]
+    docs = []
+    for d in range(600):
+        w = rng.choices(VOCAB, k=rng.randrange(0, 1500))
+        v = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, 1 + len(v) // 12)):
+            k = rng.randrange(len(v))
+            v[k : k + rng.choice([0, 1, 1, 2])] = rng.choices(VOCAB, k=rng.choice([0, 1]))
+        at = rng.randrange(0, len(w) + 1)
+        w[at:at] = v
+        docs.append((d, " ".join(w)))
+    items = [(i, " ".join(v)) for i, v in items]
+    want = {(d, i): round(s, 9) for d, i, s in shares(docs, items) if s >= threshold}
+    got = {(r["doc_id"], r["item_id"]): round(r["containment"], 9) for r in found(spark, docs, items, run=None, threshold=threshold).collect()}
+    assert got.items() <= want.items() and len(want) > 300
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_sketches_by_size():
+    assert [ct.window_width(n, None) for n in (1, 8, 17, 40, 100, 1000)] == [1, 1, 1, 3, 7, 63]
+    assert [ct.window_width(n, 12) for n in (1, 8, 17, 40, 100, 1000)] == [1, 1, 1, 3, 7, 8]
+
+
+def test_equal_items_are_each_reported(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, "x " + item.upper() + " y"), (1, "x " + item + " y"), (2, item[:-3])]
+    got = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, [(5, item), (6, item.replace(" ", ", ")), (6, "other")]).collect()}
+    assert got == {(1, 5), (1, 6)}
 
 
 def test_counts_long_texts_and_nothing(spark):
@@ -74,10 +120,12 @@ def test_counts_long_texts_and_nothing(spark):
     item = " ".join(rng.choices(VOCAB, k=40))
     long = " ".join(rng.choices(VOCAB, k=60000)) + " " + item + " " + item
     got = found(spark, [(1, long), (2, "x")], [(1, item)]).collect()
-    assert [(r["doc_id"], r["item_id"], r["n_windows"]) for r in got] == [(1, 1, 29)]
+    assert [(r["doc_id"], r["item_id"], r["longest_run"], r["n_windows"], r["containment"]) for r in got] == [(1, 1, 40, 29, 1.0)]
     assert found(spark, [(1, long)], [(None, item), (2, None)]).count() == 0
     with pytest.raises(ValueError):
         found(spark, [(1, "x")], [(1, "y")], run=4)
+    with pytest.raises(ValueError):
+        found(spark, [(1, "x")], [(1, "y")], run=None)
 
 
 def test_sliding_minimum():
