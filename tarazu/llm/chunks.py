@@ -1,10 +1,14 @@
 """Cutting texts above a token limit into pieces at natural boundaries, by their content.
 
-Content-defined chunking: a rolling hash over the last words marks the landmark of each
-stretch, the place of the smallest hash between the least and the greatest size of a
-piece. The cut goes to the natural boundary nearest to the landmark within these sizes:
-paragraph before line before sentence before word. As landmarks depend on the words
-around them only, an edit alters the pieces beside it and the cuts fall in step again.
+Content-defined chunking. A rolling hash over the last words marks landmarks: of a
+stretch that is too long for a piece, the landmark is the place of the smallest hash that
+leaves at least the least size on both sides. It snaps to the nearest natural boundary
+around it, a paragraph before a line, a sentence, a word, and the stretch is divided
+there; both sides are divided likewise until they fit. Which landmarks count depends on
+the words around them and not on how many pieces lie before them, so an edit alters the
+pieces beside it and no others. Words too long for a piece are divided by the same rule:
+between the tokenizer's own parts, and inside long runs of letters at landmarks of a
+rolling hash over characters.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarazu.llm.tokens import DEFAULT_RANKS, PATTERN, TokenCounter, atoms_of, counter, read_ranks
-from tarazu.llm.words import WordHashes, shingle_hashes
+from tarazu.llm.words import WordHashes, mix, shingle_hashes, sliding_min
 
-ROLL = 4
+ROLL = 4  # words of a landmark
+CHARS, NEAR = 6, 8  # characters of a landmark inside a word, and to either side of it without a smaller hash
 KINDS = ("inside", "word", "sentence", "line", "paragraph", "end")
 _STOPS = np.array([ord(c) for c in ".!?।॥…"], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}”’»"], np.uint32)
@@ -47,21 +52,40 @@ class Sizes:
             raise ValueError("sizes must satisfy 0 < least <= limit - overlap, and limit - overlap >= 16")
 
 
+def _inseparable(ch: str) -> bool:
+    """No part begins with a mark or a joiner."""
+    return unicodedata.category(ch)[0] == "M" or ch in "\u200c\u200d"
+
+
+def _pinched(run: str, most: int) -> list[str]:
+    """A run of letters in parts of at most ``most`` characters, divided where a rolling hash is least among its neighbours."""
+    codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    rolled = shingle_hashes(mix(codes), CHARS)
+    near = min(NEAR, most // 2)
+    inf = np.full(near, np.iinfo(np.uint64).max, np.uint64)
+    around = sliding_min(np.concatenate((inf, rolled, inf)), 2 * near + 1)
+    cuts, at = [], 0
+    for c in (np.nonzero(rolled == around)[0] + CHARS).tolist() + [len(run)] if near and len(rolled) else [len(run)]:
+        while c - at > most:  # no landmark, as where all characters are equal
+            cuts.append(at := at + most)
+        if c - at >= max(1, near) or c == len(run):
+            cuts.append(at := c)
+    while cuts and cuts[-1] >= len(run):
+        cuts.pop()
+    edges = [0, *(c for c in cuts if not _inseparable(run[c])), len(run)]
+    return [run[a:z] for a, z in zip(edges, edges[1:])]
+
+
 def _apart(atom: str, most: int, tokens: TokenCounter) -> list[str]:
-    """A word above the limit in parts: at the tokenizer's own breaks, never before a mark or a joiner."""
+    """A word above the limit in parts of at most ``most`` tokens, never before a mark or a joiner if that can be."""
     parts: list[str] = []
     for p in _PIECES.findall(atom):
-        if parts and (unicodedata.category(p[0])[0] == "M" or p[0] in "‌‍") and len(parts[-1].encode()) + len(p.encode()) <= most:
-            parts[-1] += p
-            continue
-        while len(p.encode()) > most:  # as many tokens as bytes at worst
-            k = max(1, most // 4)
-            while 1 < k < len(p) and (unicodedata.category(p[k])[0] == "M" or p[k] in "‌‍"):
-                k -= 1
-            parts.append(p[:k])
-            p = p[k:]
-        if p:
-            parts.append(p)
+        # As many tokens as bytes at worst.
+        for q in [p] if len(p.encode()) <= most else _pinched(p, max(1, most // 4)):
+            if parts and _inseparable(q[0]) and len(parts[-1].encode()) + len(q.encode()) <= most:
+                parts[-1] += q
+            else:
+                parts.append(q)
     return parts
 
 
@@ -108,35 +132,52 @@ def cut(text: str, sizes: Sizes, tokens: TokenCounter, hashes: WordHashes) -> li
     rolled = shingle_hashes(hashes.of(atoms), ROLL)
     rolled = np.concatenate((np.full(len(atoms) - len(rolled), np.iinfo(np.uint64).max, np.uint64), rolled))
     out: list[tuple[int, int, int, int, str]] = []
-    start, total = 0, len(atoms)
-    while start < total:
+    todo = _stretches(upto, level, rolled, sizes)[::-1]
+    while todo:
+        start, stop = todo.pop()
         back = start
         if out and sizes.overlap:
             back = int(np.searchsorted(upto, upto[start] - sizes.overlap))
-        stop = total
-        if upto[total] - upto[start] > sizes.most:
-            hi = int(np.searchsorted(upto, upto[start] + sizes.most, "right")) - 1  # atoms before hi fit
-            lo = min(int(np.searchsorted(upto, upto[start] + sizes.least)), hi)
-            lo = max(lo, start + 1)
-            hi = max(hi, lo)
-            gap = np.arange(lo, hi + 1)  # a cut at g ends the piece after atom g - 1
-            landmark = lo + int(np.argmin(rolled[lo - 1 : hi]))
-            kinds = level[gap - 1]
-            best = gap[kinds == kinds.max()]
-            stop = int(best[np.argmin(np.abs(upto[best] - upto[landmark]))])
         first = int(ends[back - 1]) if back else 0
         size = int(upto[stop] - upto[back])
         if inside:  # parts of one word may count differently together
             size = tokens.count(text[first : int(ends[stop - 1])])
-            while size > sizes.limit and (back < start or stop > start + 1):
-                back, stop = (back + 1, stop) if back < start else (back, stop - 1)
-                first = int(ends[back - 1]) if back else 0
+            while size > sizes.limit and back < start:
+                back += 1
+                first = int(ends[back - 1])
                 size = tokens.count(text[first : int(ends[stop - 1])])
+            if size > sizes.limit and stop > start + 1:
+                todo += [((start + stop) // 2, stop), (start, (start + stop) // 2)]
+                continue
         out.append((first, int(ends[stop - 1]), size, int(upto[start] - upto[back]), KINDS[level[stop - 1]]))
-        start = stop
     return out
 
 
+def _stretches(upto: np.ndarray, level: np.ndarray, rolled: np.ndarray, sizes: Sizes) -> list[tuple[int, int]]:
+    """Stretches of atoms of at most ``sizes.most`` tokens, divided at the least landmark again and again."""
+    done, todo = [], [(0, len(level))]
+    around = sizes.most // 4
+    while todo:
+        a, z = todo.pop()
+        if upto[z] - upto[a] <= sizes.most or z - a < 2:
+            done.append((a, z))
+            continue
+        # A cut at g ends the left side after atom g - 1.
+        lo = max(a + 1, int(np.searchsorted(upto, upto[a] + sizes.least)))
+        hi = min(z - 1, int(np.searchsorted(upto, upto[z] - sizes.least, "right")) - 1)
+        if lo > hi:  # one long word lies across all places
+            lo = hi = min(max(a + 1, hi), z - 1)
+        landmark = lo + int(np.argmin(rolled[lo - 1 : hi]))
+        near = slice(max(lo, int(np.searchsorted(upto, upto[landmark] - around))), min(hi, int(np.searchsorted(upto, upto[landmark] + around, "right")) - 1) + 1)
+        if level[near.start - 1 : near.stop - 1].max() < 2:
+            near = slice(lo, hi + 1)  # no sentence ends around it: look as far as the sizes allow
+        kinds = level[near.start - 1 : near.stop - 1]
+        best = near.start + np.nonzero(kinds == min(kinds.max(), 4))[0]
+        g = int(best[np.argmin(np.abs(upto[best] - upto[landmark]))])
+        todo += [(g, z), (a, g)]
+    return done
+
+
 def pieces(df: DataFrame, ident: str, text: str, sizes: Sizes = Sizes(), ranks: str = DEFAULT_RANKS, oversized_only: bool = False) -> DataFrame:
     """``ident, piece, char_start, char_end, n_tokens, overlap_tokens, ends_at, text`` for each text.
 

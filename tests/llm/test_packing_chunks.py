@@ -62,14 +62,24 @@ def test_words_without_breaks(tokens):
         assert a == 0 or "कि"[a % 2] != "ि"
 
 
-def test_an_edit_stays_local(tokens):
+def lost_cuts(t, at, inserted, sizes, tokens):
+    old = {z for _, z, *_ in cut(t, sizes, tokens, WordHashes())[:-1]}
+    new = cut(t[:at] + inserted + t[at:], sizes, tokens, WordHashes())[:-1]
+    return len(old - {z if z <= at else z - len(inserted) for _, z, *_ in new})
+
+
+@pytest.mark.parametrize("kind", ["prose", "sentences", "letters", "akshara"])
+def test_an_edit_stays_local(tokens, kind):
     rng = random.Random(3)
-    t = prose(rng, 6000)
-    sizes = Sizes(limit=128, overlap=0, least=48)
-    old = {t[a:z] for a, z, *_ in cut(t, sizes, tokens, WordHashes())}
-    changed = t[: len(t) // 3] + " inserted words here " + t[len(t) // 3 :]
-    new = [changed[a:z] for a, z, *_ in cut(changed, sizes, tokens, WordHashes())]
-    assert sum(p not in old for p in new) <= max(6, 0.1 * len(new))
+    t = {
+        "prose": lambda: prose(rng, 6000),
+        "sentences": lambda: prose(rng, 6000, breaks=False),
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20000)),
+        "akshara": lambda: "".join(rng.choices(["क", "कि", "स्था", "मी", "न", "०", "ल"], k=6000)),
+    }[kind]()
+    sizes = Sizes(limit=256, overlap=0, least=96)
+    lost = [lost_cuts(t, rng.randrange(len(t)), rng.choice(["x", " two words ", "नवा"]), sizes, tokens) for _ in range(60)]
+    assert max(lost) <= 6 and sum(x <= 2 for x in lost) >= 54 and sum(lost) <= 60
 
 
 def test_sizes_are_checked():
