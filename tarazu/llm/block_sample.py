@@ -1,66 +1,98 @@
 """A reproducible sample that keeps its members as the data grow.
 
-Randomised block selection. Every key owns a persistent sequence number that is a
-function of the key alone: the first ten hexadecimal digits of its content address
-(sha256), a number below 2**40. The number line is divided into fixed blocks of
-2**20 positions. For each block, a hash of (seed, block number) decides in advance
-which ``take`` of its 2**20 positions are chosen, whether a key already sits at a
-position or not: the hash gives an odd multiplier and an offset, an affine
-permutation of the positions, and a position is chosen when its image is below
-``take``. So a row decides by itself, without looking at any other row:
-
-* the result does not depend on reruns, row order, copies or partitions;
-* a key that is chosen stays chosen whatever rows arrive later, and in any order;
-* a key's probability is ``take / 2**20`` for every key.
-
-Only chosen rows are shuffled (to drop copies); the rest is a filter in the scan.
+Randomised block selection. Every key owns a persistent sequence number, handed out once
+when the key first arrives. The number line is divided into fixed blocks of ``POSITIONS``
+numbers. For each block, a hash of (seed, block number) decides in advance which ``take``
+positions are chosen, whether numbers in it have been handed out or not: the hash keys a
+permutation of the positions, and a position is chosen when its image is below ``take``.
+
+* The result does not depend on reruns, row order, copies or partitions.
+* A key that is chosen stays chosen whatever arrives later: its number stays, and what
+  is chosen in a block does not depend on how far the block is filled.
+* A full block holds exactly ``take`` chosen keys, so the sample's size hardly varies.
+
+A record number that the source hands out on arrival serves as the sequence number: a
+key's number is its smallest one, which later rows cannot undercut. Where they can, a
+ledger (``record``) pins each number for good.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+BLOCK_BITS = 8
 POSITIONS = 1 << BLOCK_BITS
+#: Seeds drawn in one pass; more are drawn in several.
+SEEDS_A_PASS = 256
+
+
+def sequence_numbers(df: DataFrame, key: str, arrival: str, ledger: DataFrame | None = None) -> DataFrame:
+    """``key, number``: each key's smallest arrival number, or the number the ledger has for it.
+
+    Null keys have no number; neither have keys all of whose arrival numbers are null or
+    negative, unless the ledger has one. Repeated rows count once.
+    """
+    fresh = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.when(F.col(arrival) >= 0, F.col(arrival))).cast("long").alias("number"))
+    if ledger is not None:
+        fresh = fresh.join(ledger.select("key", F.col("number").alias("pinned")), "key", "left").select("key", F.coalesce("pinned", "number").alias("number"))
+    return fresh.where(F.col("number").isNotNull())
+
+
+def record(numbers: DataFrame, path: str) -> DataFrame:
+    """Append the numbers of keys the ledger at ``path`` does not have yet; returns the ledger."""
+    spark = numbers.sparkSession
+    try:
+        known = spark.read.schema("key string, number long").parquet(path)
+        known.limit(1).count()
+        numbers = numbers.join(known, "key", "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    numbers.select(F.col("key").cast("string").alias("key"), "number").write.mode("append").parquet(path)
+    return spark.read.schema("key string, number long").parquet(path)
 
 
 def _hex(c: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(c, start, digits), 16, 10).cast("long")
 
 
-def sequence_number(sha256: Column) -> Column:
-    """The persistent number of a content address: below 2**40; null for null or malformed keys."""
-    low = F.lower(sha256)
-    return F.when(low.rlike("^[0-9a-f]{10}"), _hex(low, 1, 10))
+def image(seed: Column, block: Column, position: Column) -> Column:
+    """Where the permutation of a block, keyed by (seed, block number), sends a position."""
+    mixed = F.md5(F.concat_ws(":", seed.cast("string"), block.cast("string")))
+    at = position
+    for k in range(3):  # odd factors and shifted bits: each step is a bijection
+        at = (_hex(mixed, 8 * k + 1, 4).bitwiseOR(F.lit(1)) * at + _hex(mixed, 8 * k + 5, 4)).bitwiseAND(F.lit(POSITIONS - 1))
+        if k < 2:
+            at = at.bitwiseXOR(F.shiftright(at, BLOCK_BITS // 2))
+    return at
 
 
-def block_sample(df: DataFrame, key: str, seed: Column | int, take: int) -> DataFrame:
-    """Distinct chosen keys: ``key, seed, block, position, selection_prob``.
+def block_sample(numbers: DataFrame, seeds: DataFrame | list[int], take: int) -> DataFrame:
+    """The chosen keys: ``key, seed, block, position, selection_prob``.
 
-    ``seed`` is a number or a column of ``df`` (several draws at once). Null and
-    malformed keys are never chosen; an empty table gives an empty sample; ``take``
-    0 chooses none and 2**20 chooses every key. Repeated rows count once.
+    ``numbers`` has distinct keys with their ``number``; ``seeds`` is a list, or a table
+    whose first column is the seed (null and repeated seeds do not count). ``take`` 0
+    chooses none, ``POSITIONS`` every key; an empty table or no seed gives no row. Keys
+    are mapped one by one and not shuffled.
     """
     if not 0 <= take <= POSITIONS:
         raise ValueError(f"take must lie between 0 and {POSITIONS}")
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    rows = df.select(F.col(key).alias("key"), seed.cast("long").alias("seed"), sequence_number(F.col(key)).alias("number"))
-    rows = rows.withColumn("block", F.shiftright("number", BLOCK_BITS)).withColumn("position", F.col("number").bitwiseAND(F.lit(POSITIONS - 1)))
-    mixed = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string")))
-    factor = _hex(mixed, 1, 5).bitwiseOR(F.lit(1))
-    image = (factor * F.col("position") + _hex(mixed, 6, 5)).bitwiseAND(F.lit(POSITIONS - 1))
-    return (
-        rows.where(F.col("number").isNotNull() & F.col("seed").isNotNull() & (image < take))
-        .select("key", "seed", "block", "position")
-        .distinct()
-        .select(F.col("key").alias(key), "seed", "block", "position", F.lit(take / POSITIONS).alias("selection_prob"))
-    )
-
-
-def with_seeds(df: DataFrame, seeds: DataFrame, column: str = "seed", most: int = 64) -> DataFrame:
-    """Repeat the rows of ``df`` for each distinct seed; more than ``most`` seeds are refused."""
-    found = sorted(r[0] for r in seeds.where(F.col(column).isNotNull()).select(F.col(column).cast("long")).distinct().limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} seeds; draw them in turn")
-    return df.withColumn("seed", F.explode(F.array(*map(F.lit, found)).cast("array<bigint>")))
+    rows = numbers.select("key", F.shiftright("number", BLOCK_BITS).alias("block"), F.col("number").bitwiseAND(F.lit(POSITIONS - 1)).alias("position"))
+    parts = []
+    for group in batched(_distinct(seeds), SEEDS_A_PASS):
+        drawn = rows.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in group))))
+        parts.append(drawn.where(image(F.col("seed"), F.col("block"), F.col("position")) < take))
+    got = reduce(DataFrame.unionByName, parts) if parts else rows.withColumn("seed", F.lit(0).cast("long")).where("false")
+    return got.select("key", "seed", "block", "position", F.lit(take / POSITIONS).alias("selection_prob"))
+
+
+def _distinct(seeds: DataFrame | list[int]) -> Iterator[int]:
+    if isinstance(seeds, list):
+        return iter(sorted(set(seeds)))
+    c = F.col(f"`{seeds.columns[0]}`").cast("long").alias("seed")
+    return (r[0] for r in seeds.select(c).where(F.col("seed").isNotNull()).distinct().orderBy("seed").toLocalIterator())

@@ -7,50 +7,75 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarazu.llm.block_sample import POSITIONS, block_sample, sequence_number, with_seeds
+from tarazu.llm import block_sample as bs
+from tarazu.llm.block_sample import POSITIONS, block_sample, image, record, sequence_numbers
 from tarazu.llm.quota_sample import largest_remainder, quota_sample, quotas
 
 KEYS = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(4000)]
 
 
-def sample(df, seed=7, take=POSITIONS // 10):
-    return {r["sha256"] for r in block_sample(df, "sha256", seed, take).collect()}
+def sample(df, seed=7, take=26):
+    return {r["key"] for r in block_sample(sequence_numbers(df, "sha256", "doc_id"), [seed], take).collect()}
+
+
+def files(spark, rows):
+    return spark.createDataFrame(rows, "sha256 string, doc_id long").selectExpr("*", "'x' AS seed", "'y' AS number", "1 AS block")
 
 
 def test_sample_is_stable_and_keeps_its_members(spark):
-    df = spark.createDataFrame([(k, "x") for k in KEYS], "sha256 string, seed string")
-    whole = sample(df)
-    assert sample(df.repartition(9)) == whole
-    assert sample(df.unionByName(df.limit(500)).orderBy(F.rand(3))) == whole
-    shuffled = random.Random(1).sample(KEYS, 1500)
-    early = sample(spark.createDataFrame([(k,) for k in shuffled], "sha256 string"))
-    assert early == whole & set(shuffled)
-    assert 300 < len(whole) < 500
-    assert sample(df, seed=8) != whole
-
-
-def test_every_block_has_exactly_the_chosen_positions(spark):
-    # All 2**20 positions of one block, whether a key sits there or not.
-    take = 12345
-    df = spark.range(POSITIONS).select(F.concat(F.lit("00abc"), F.lpad(F.lower(F.hex("id")), 5, "0"), F.lit("0" * 54)).alias("sha256"))
-    got = block_sample(df, "sha256", 3, take)
-    assert got.count() == take
-    assert got.select(F.count_distinct("block")).first()[0] == 1
-
-
-def test_sample_edges(spark):
-    df = spark.createDataFrame([(None,), ("zz",), ("",), (KEYS[0].upper(),), (KEYS[0],)], "sha256 string")
+    rows = [(k, i) for i, k in enumerate(KEYS)]
+    whole = sample(files(spark, rows))
+    later = [(k, 4000 + i) for i, k in enumerate(random.Random(1).sample(KEYS, 900))]  # downloaded again
+    assert sample(files(spark, rows + rows[:500] + later).orderBy(F.rand(3)).repartition(9)) == whole
+    early = [r for r in rows if r[1] < 1500]
+    assert sample(files(spark, early)) == whole & {k for k, _ in early}
+    assert sample(files(spark, rows), seed=8) != whole
+
+
+def test_full_blocks_hold_exactly_the_chosen_number(spark):
+    held = Counter(r["block"] for r in block_sample(sequence_numbers(files(spark, [(k, i) for i, k in enumerate(KEYS)]), "sha256", "doc_id"), [7], 26).collect())
+    full = len(KEYS) // POSITIONS
+    assert [held[b] for b in range(full)] == [26] * full and held[full] <= 26  # the last block is not full
+    holes = [(k, i) for i, k in enumerate(KEYS) if i % 3]
+    gaps = Counter(r["block"] for r in block_sample(sequence_numbers(files(spark, holes), "sha256", "doc_id"), [7], 26).collect())
+    assert all(gaps[b] <= 26 for b in gaps) and 0.5 < sum(gaps.values()) / sum(held.values()) < 0.8
+
+
+def test_each_block_is_permuted_evenly(spark):
+    at = spark.range(300).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POSITIONS - 1).cast("long"))).alias("position"))
+    got = at.select("block", "position", image(F.lit(5), F.col("block"), F.col("position")).alias("x"))
+    assert got.groupBy("block").agg(F.count_distinct("x").alias("n")).where(F.col("n") != POSITIONS).count() == 0
+    chosen = {b: set() for b in range(300)}
+    for r in got.where("x < 26").collect():
+        chosen[r["block"]].add(r["position"])
+    often = Counter(p for c in chosen.values() for p in c)
+    assert len(often) == POSITIONS and max(often.values()) < 70  # 30.5 expected
+    assert len({frozenset(c) for c in chosen.values()}) == 300
+
+
+def test_ledger_pins_numbers(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = sequence_numbers(files(spark, [(KEYS[0], 10), (KEYS[1], 11)]), "sha256", "doc_id")
+    assert record(first, path).count() == 2
+    now = files(spark, [(KEYS[0], 3), (KEYS[1], 11), (KEYS[2], 4)])  # an earlier number arrives late
+    pinned = sequence_numbers(now, "sha256", "doc_id", spark.read.parquet(path))
+    assert {tuple(r) for r in pinned.collect()} == {(KEYS[0], 10), (KEYS[1], 11), (KEYS[2], 4)}
+    assert record(pinned, path).count() == 3 and record(pinned, path).count() == 3
+
+
+def test_sample_edges(spark, monkeypatch):
+    df = files(spark, [(None, 1), ("", 2), (KEYS[0], 3), (KEYS[0], 3), (KEYS[1], None), (KEYS[2], -4), (KEYS[2], 5)])
     assert sample(df, take=0) == set()
-    assert sample(df, take=POSITIONS) == {KEYS[0], KEYS[0].upper()}
+    assert sample(df, take=POSITIONS) == {"", KEYS[0], KEYS[2]}
     assert sample(df.where("false")) == set()
-    assert df.select(sequence_number(F.col("sha256"))).where("`" + df.select(sequence_number(F.col("sha256"))).columns[0] + "` IS NULL").count() == 3
+    numbers = sequence_numbers(df, "sha256", "doc_id")
     with pytest.raises(ValueError):
-        block_sample(df, "sha256", 1, -1)
+        block_sample(numbers, [1], -1)
     seeds = spark.createDataFrame([(1,), (2,), (1,), (None,)], "seed long")
-    assert with_seeds(df, seeds).count() == 10
-    assert with_seeds(df, seeds.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        with_seeds(df, spark.range(70).select(F.col("id").alias("seed")))
+    assert block_sample(numbers, seeds, POSITIONS).count() == 6
+    assert block_sample(numbers, seeds.where("false"), POSITIONS).count() == 0
+    monkeypatch.setattr(bs, "SEEDS_A_PASS", 7)
+    assert block_sample(numbers, spark.range(20), POSITIONS).count() == 60
 
 
 @settings(max_examples=300, deadline=None)
