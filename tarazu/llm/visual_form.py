@@ -283,7 +283,8 @@ def vocabulary(df: DataFrame, columns: list[str], size: int, min_count: int = 2)
     texts = df.select(F.explode(F.array(*(F.col(f"`{c}`").cast("string") for c in columns))).alias("t")).where(F.col("t").isNotNull())
     tokens = texts.select(F.explode(F.split("t", BLANK_CLASS)).alias("token")).where(F.length("token").between(2, 64))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    top = counts.where(proper("token")).orderBy(F.desc("n"), "token").limit(size)
+    # Not deterministic, so that it is not pushed below the count and asked for every occurrence.
+    top = counts.where(proper.asNondeterministic()("token")).orderBy(F.desc("n"), "token").limit(size)
     return [r[0] for r in top.select("token").collect()]
 
 
