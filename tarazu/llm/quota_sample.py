@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarazu.session import cut
+
 BUCKET_DIGITS = 3
 QUOTA_SCHEMA = (
-    "draw string, stratum string, n_draw long, available long, target long, floor long, quota long, shortfall long"
+    "draw string, stratum string, n_draw long, available long, target long, floor long, quota long, shortfall long, missed long"
 )
 
 
@@ -85,12 +87,17 @@ def _allocate(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "floor": floors,
                     "quota": quotas,
                     "shortfall": [max(0, w - a) for w, a in zip(wanted, caps)],
+                    "missed": [max(0, w - q) for w, q in zip(wanted, quotas)],
                 }
             )
 
 
 def quotas(members: DataFrame, targets: DataFrame) -> DataFrame:
-    """Quota and shortfall per target row.
+    """Quota, shortfall and missed target per target row.
+
+    ``shortfall`` is what a stratum lacks in members, ``missed`` what its quota lacks of
+    its target for whatever reason: too few members, or floors of other strata that take
+    the room.
 
     ``members``: draw, stratum (normalized, not null), one row per member. ``targets``:
     draw, stratum, size_permille, share_permille, min_count; a target's stratum need
@@ -98,7 +105,8 @@ def quotas(members: DataFrame, targets: DataFrame) -> DataFrame:
     members gets quotas of 0. Members of strata without a target are counted in the
     size of the draw but get no quota.
     """
-    counts = members.groupBy("draw", "stratum").agg(F.count(F.lit(1)).alias("available"))
+    # A row per stratum, written once and read twice.
+    counts = cut(members.groupBy("draw", "stratum").agg(F.count(F.lit(1)).alias("available")))
     sizes = counts.groupBy("draw").agg(F.sum("available").alias("n_draw"))
     wanted = targets.groupBy("draw", "stratum").agg(
         *(F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("size_permille", "share_permille", "min_count"))

@@ -127,3 +127,11 @@ def test_quota_sample_of_nothing(spark):
     assert [(r["quota"], r["shortfall"]) for r in q.collect()] == [(0, 2)]
     assert quota_sample(m, q, "member", 1).count() == 0
     assert quotas(m, t.where("false")).count() == 0
+
+
+def test_targets_missed_for_the_floors_of_others(spark):
+    """The draw has room for 100; two floors of 40 leave 20 of a target of 90."""
+    m = spark.range(1000).selectExpr("'d' AS draw", "CASE id % 3 WHEN 0 THEN 'big' WHEN 1 THEN 'b' ELSE 'c' END AS stratum", "CAST(id AS string) AS member")
+    t = spark.createDataFrame([("d", "big", 100, 900, 0), ("d", "b", 100, 50, 40), ("d", "c", 100, 50, 40)], TARGETS)
+    got = {r["stratum"]: (r["quota"], r["target"], r["shortfall"], r["missed"]) for r in quotas(m, t).collect()}
+    assert got == {"big": (20, 90, 0, 70), "b": (40, 40, 0, 0), "c": (40, 40, 0, 0)}
