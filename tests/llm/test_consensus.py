@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tarazu.llm import consensus as cs
 from tarazu.llm.consensus import chi2_quantile, consensus, votes
 
 SCHEMA = "id long, obs_id long, annotator string, label string, round int, votes string"
@@ -64,5 +67,20 @@ def test_ties_go_to_the_more_frequent_label(spark):
     assert got == {5: "CORRECT", 6: "CORRECT"}
 
 
+@pytest.mark.parametrize("own_vote", [False, True])
+def test_joins_give_the_same(spark, monkeypatch, own_vote):
+    _, rows = crowd(3, 120)
+    df = spark.createDataFrame(rows + [(9000, 900, "lone", "PARTIAL", 1, None)], SCHEMA)
+    show = lambda c: ({tuple(map(str, (r[0], r[1], r[2], r[3] and round(r[3], 6), round(r[4], 6)))) for r in c.items.collect()}, {(r[0], r[1], round(r[3], 6)) for r in c.annotators.collect()}, c.rounds, c.converged)
+    of = lambda: cs.consensus(votes(df, "obs_id", "annotator", "label", ["round", "id"]), rounds=4, own_vote=own_vote)
+    a = show(of())
+    monkeypatch.setattr(cs, "MOST_LABELS", 2)
+    assert votes(df, "obs_id", "annotator", "label", ["round", "id"]).items is None
+    assert show(of()) == a
+    with pytest.warns(UserWarning, match="did not settle in 1 rounds"):
+        assert not cs.consensus(votes(df, "obs_id", "annotator", "label", ["round", "id"]), rounds=1).converged
+    assert show(cs.consensus(votes(df.where("false"), "obs_id", "annotator", "label", ["id"])))[:2] == (set(), set())
+
+
 def test_chi_squared_quantile():
     assert abs(float(chi2_quantile(30, -1.959964)) - 16.79) < 0.1
