@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from tarazu.llm.chunks import KINDS, Sizes, cut, pieces
-from tarazu.llm.packing import ShardIndex, fill, pack
+from tarazu.llm import packing
+from tarazu.llm.packing import TERM_BITS, ShardIndex, fill, neighbour_recall, pack
 from tarazu.llm.tokens import TokenCounter, atoms_of, read_ranks
 from tarazu.llm.words import WordHashes
 
@@ -117,7 +118,7 @@ def test_bm25_against_brute_force():
     docs = [np.unique(rng.choices(range(30), k=8)).astype(np.int32) for _ in range(20)] + [np.zeros(0, np.int32)]
     counts = [np.array(rng.choices(range(1, 4), k=len(d)), np.uint16) for d in docs]
     lengths = np.array([len(d) for d in docs], float)
-    idf = np.linspace(0.1, 3, 1 << 20).astype(np.float32)
+    idf = np.linspace(0.1, 3, 1 << TERM_BITS).astype(np.float32)
     index = ShardIndex(docs, counts, lengths, idf, lengths.mean())
     for seed in range(len(docs)):
         want = np.zeros(len(docs))
@@ -142,6 +143,7 @@ def test_packing(spark, tokens):
     assert set(where) == set(size) and max(held.values()) <= 256
     for i, n in size.items():
         assert sum(r["n_tokens"] for r in where[i]) == n
+        assert sorted(r["token_start"] for r in where[i]) == list(range(0, n, 256))
         assert len(where[i]) == (1 if n <= 256 else -(-n // 256)) == where[i][0]["n_parts"]
     assert sum(size.values()) / (256 * len(held)) > 0.95
     again = pack(df.repartition(5, "text"), "doc_id", "text", 256, shard_docs=120).collect()
@@ -149,3 +151,22 @@ def test_packing(spark, tokens):
     assert pack(df.where("false"), "doc_id", "text", 256).count() == 0
     with pytest.raises(ValueError):
         pack(df, "doc_id", "text", 0)
+
+
+def test_documents_about_the_same_share_a_shard(spark):
+    rng = random.Random(8)
+    topics = [[f"t{t}word{i}" for i in range(60)] for t in range(6)]
+    rows = [(i, " ".join(rng.choices(topics[i % 6] + WORDS, k=60))) for i in range(600)] + [(1000 + i, "copy of one notice") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share, score = neighbour_recall(df, "doc_id", "text", seeds=100, shard_docs=150)
+    assert share > 0.8 and score > 0.95
+    held = pack(df, "doc_id", "text", 512, shard_docs=40).collect()
+    shards = defaultdict(set)
+    for r in held:
+        shards[r["container_id"].rpartition("-")[0]].add(r["doc_id"])
+    assert max(map(len, shards.values())) <= 120 and sum(map(len, shards.values())) == 900  # also the group of copies
+    same = defaultdict(set)
+    for r in held:
+        if r["doc_id"] < 600:
+            same[r["container_id"]].add(r["doc_id"] % 6)
+    assert sum(len(x) == 1 for x in same.values()) > 0.8 * len(same)
