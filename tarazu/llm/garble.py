@@ -15,8 +15,10 @@ it stands, the text stays unchanged.
   as a description but restores nothing.
 * What was lost on the way (replacement and control characters) is reported, too.
 
-The dictionaries are trained on samples whose sizes are the parameters of ``Trainer``;
-everything else looks at whole texts and all rows.
+The dictionaries are trained on samples whose sizes are the parameters of ``Trainer``:
+passages of so many texts a language and a family, chosen by a hash of the identifier. No
+language or family is left out for its number. Everything else looks at whole texts and
+all rows.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarazu.session import cut
+
 LEVEL = 3
-#: Bytes a step of a chain costs, and bytes by which another reading must win over the text as it stands.
+#: Bytes a step of a chain costs, and bytes by which glyph codes must win over the text as it stands.
 STEP_COST, MARGIN = 1, 1
 #: A family's conversion names its family and table; glyph dictionaries win only with a clear lead.
 FAMILY_COST, UNKNOWN_COST = 4, 6
@@ -44,9 +49,8 @@ BOTH_COST = 10
 SHORT = 58
 CHUNK = 6  # words looked at together where a stretch is not of one kind
 FEW = 3  # words looked at together for where a run of codes begins and ends
-MOST_STEPS = 4
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-DEVA = re.compile("[ऀ-ॿ]")
+DEVA, LETTER = re.compile("[ऀ-ॿ]"), re.compile("[^\\W\\d_]|[ऀ-ॿ]")
 
 #: Any step shows each byte above 127 as a sign of its own, so at least two stand together.
 PAIR = re.compile("[^\\x00-\\x7f\u0900-\u097f]{2}")
@@ -54,9 +58,6 @@ PAIR = re.compile("[^\\x00-\\x7f\u0900-\u097f]{2}")
 FOREIGN_SIGNS = re.compile("[^\\x00-\\x7f\u0900-\u097f]+")
 FOREIGN = re.compile("[^\\x00-\\x7f\u0900-\u097f]{2,}")
 
-#: Languages written in Devanagari; all others describe texts without it.
-DEVANAGARI_LANGUAGES = ("hi", "mr")
-
 TABLES = ("cp1252", "mac_roman", "cp437", "koi8_r", "cp850", "cp1251")
 
 
@@ -93,33 +94,42 @@ class Table:
         self.found = re.compile(f"{cls(0xC2, 0xE0)}{more}|{cls(0xE0, 0xF0)}{more}{more}|{cls(0xF0, 0xF5)}{more}{more}{more}")
         self.to_bytes = {c: chr(b) for c, b in self.byte.items()}
 
-    def undo(self, text: str) -> str:
+    def undo(self, text: str, runs: list[tuple[int, int]]) -> str:
         """Undo the reading in every run of foreign signs of which at least half was read so."""
-
-        def run(m: re.Match) -> str:
-            parts, at, undone = [], 0, 0
-            for f in self.found.finditer(m[0]):
+        by_run: dict[tuple[int, int], list[re.Match]] = {}
+        k = 0
+        for f in self.found.finditer(text):  # every match lies inside a run
+            while runs[k][1] <= f.start():
+                k += 1
+            by_run.setdefault(runs[k], []).append(f)
+        out, done = [], 0
+        for (a, z), found in by_run.items():
+            if sum(f.end() - f.start() for f in found) * 2 < z - a:
+                continue
+            parts, at, undone = [], a, 0
+            for f in found:
                 try:
                     got = f[0].translate(self.to_bytes).encode("latin-1").decode("utf-8")
                 except UnicodeDecodeError:
                     continue
                 if got in PLAUSIBLE:
-                    parts += (m[0][at : f.start()], got)
+                    parts += (text[at : f.start()], got)
                     at = f.end()
                     undone += len(f[0])
-            return "".join(parts) + m[0][at:] if undone * 2 >= len(m[0]) else m[0]
-
-        return FOREIGN.sub(run, text)
+            if undone * 2 >= z - a:
+                out += (text[done:a], *parts, text[at:z])
+                done = z
+        return "".join(out) + text[done:] if out else text
 
 
 class SwappedPairs:
-    """Undoes UTF-16 read with swapped bytes, for Devanagari."""
+    """Undoes UTF-16 read with swapped bytes, for Devanagari and for Latin letters, figures and signs."""
 
     name = "utf_16_swapped"
-    found = re.compile("[" + "".join(re.escape(chr(b << 8 | 9)) for b in range(1, 0x80)) + "]{2,}")
+    found = re.compile("[" + "".join(re.escape(chr(b << 8 | 9)) for b in range(1, 0x80)) + "".join(re.escape(chr(b << 8)) for b in (*range(0x20, 0x7F), *range(0xA0, 0x100)) if not 0xD8 <= b <= 0xDF) + "]{2,}")
 
-    def undo(self, text: str) -> str:
-        return self.found.sub(lambda m: "".join(chr(0x900 | ord(c) >> 8) for c in m[0]), text)
+    def undo(self, text: str, runs: list[tuple[int, int]]) -> str:
+        return self.found.sub(lambda m: "".join(chr((ord(c) & 255) << 8 | ord(c) >> 8) for c in m[0]), text)
 
 
 PLAUSIBLE = _plausible()
@@ -129,10 +139,25 @@ def _pairs(text: str) -> int:
     return sum(map(len, FOREIGN.findall(text)))
 
 
-def _covers(signs: frozenset[str], text: str) -> bool:
-    """Signs that are no codes of a family speak against it."""
-    shown = text.replace(" ", "")
-    return sum(map(signs.__contains__, shown)) * 10 >= 8 * len(shown)
+class _Cover(dict):
+    """Which families have the signs of a text: a sign that is no code of a family speaks against it.
+
+    Each sign maps to a number with a lane of 32 bits a family, so that one sum counts for all.
+    """
+
+    def __init__(self, signs: list[frozenset[str]]):
+        super().__init__()
+        self.signs = signs
+
+    def __missing__(self, ch: str) -> int:
+        self[ch] = n = sum(1 << 32 * i for i, s in enumerate(self.signs) if ch in s)
+        return n
+
+    def of(self, text: str) -> list[int]:
+        """The families that have four fifths of the text's signs."""
+        shown = text.replace(" ", "")
+        counts, need = sum(map(self.__getitem__, shown)), 8 * len(shown)
+        return [i for i in range(len(self.signs)) if (counts >> 32 * i & 0xFFFFFFFF) * 10 >= need]
 
 
 def _has_deva(word: str) -> bool:
@@ -164,6 +189,7 @@ class Model:
     """What is sent to the executors: a few dictionaries of bounded size, the rules, the family names."""
 
     languages: dict[str, bytes]
+    devanagari: frozenset[str] = frozenset()  # languages written in it; all others describe texts without it
     families: dict[str, dict[str, str]] = field(default_factory=dict)
     glyphs: dict[str, bytes] = field(default_factory=dict)
     glyph_signs: dict[str, str] = field(default_factory=dict)
@@ -180,10 +206,11 @@ class Describer:
 
         self.languages = {k: ready(v) for k, v in sorted(model.languages.items())}
         every = list(self.languages.values())
-        latin = [c for k, c in self.languages.items() if k not in DEVANAGARI_LANGUAGES]
-        self.by_script = {True: [c for k, c in self.languages.items() if k in DEVANAGARI_LANGUAGES] or every, False: latin or every}
-        self.glyphs = {k: (ready(v), frozenset(model.glyph_signs[k])) for k, v in sorted(model.glyphs.items())}
+        latin = [c for k, c in self.languages.items() if k not in model.devanagari]
+        self.by_script = {True: [c for k, c in self.languages.items() if k in model.devanagari] or every, False: latin or every}
         self.families = [Family(k, v) for k, v in sorted(model.families.items())]
+        self.glyphs = [(k, ready(v)) for k, v in sorted(model.glyphs.items())]
+        self.cover = _Cover([f.signs for f in self.families] + [frozenset(model.glyph_signs[k]) for k, _ in self.glyphs])
         self.decoders = decoders()
         self.frame = min(len(c.compress(b"")) for c in every)
         self.seen: dict[str, tuple[int, dict[str, int]]] = {}
@@ -195,11 +222,6 @@ class Describer:
         least = min(len(c.compress(raw)) for c in self.by_script[deva])
         return least if len(raw) == len(text) else least + sum(map(len, FOREIGN_SIGNS.findall(text)))
 
-    def glyph_length(self, text: str) -> tuple[int, str]:
-        """The shortest description by a family known from examples that has the text's signs."""
-        raw = text.encode("utf-8", "surrogatepass")
-        return min(((len(c.compress(raw)), k) for k, (c, signs) in self.glyphs.items() if _covers(signs, text)), default=(1 << 30, ""))
-
     def unexplained(self, text: str) -> bool:
         """Neither sound nor restorable: no reading is short for the length of the text."""
         most = 0.6 * len(text)
@@ -212,26 +234,20 @@ class Describer:
         todo, seen = [(text, ())], {text}
         while todo:
             at, chain = todo.pop(0)
-            if len(chain) >= MOST_STEPS or not PAIR.search(at):
+            if not PAIR.search(at):
                 continue
-            pairs = _pairs(at)
+            runs = [m.span() for m in FOREIGN.finditer(at)]
             for d in self.decoders:
-                # Glyph codes happen to look like UTF-8 here and there; what was read so does throughout.
-                if sum(map(len, d.found.findall(at))) * 5 >= pairs * 2:
-                    got = d.undo(at)
-                    if got not in seen:
-                        seen.add(got)
-                        todo.append((got, (*chain, d.name)))
-                        yield got, (*chain, d.name)
+                # Only runs that were read so throughout are undone: glyph codes happen to look like UTF-8 here and there.
+                got = d.undo(at, runs)
+                if got not in seen:
+                    seen.add(got)
+                    todo.append((got, (*chain, d.name)))
+                    yield got, (*chain, d.name)
 
     def readings(self, text: str) -> list[tuple[str, tuple[str, ...]]]:
-        """The text as it stands and the readings worth describing.
-
-        Undoing the right steps leaves hardly a foreign pair; a chance hit among glyph
-        codes leaves most of them.
-        """
-        pairs = _pairs(text)
-        return [(text, ()), *((got, chain) for got, chain in self.chains(text) if _pairs(got) * 2 <= pairs)]
+        """The text as it stands and every reading after undoing one or more steps."""
+        return [(text, ()), *self.chains(text)]
 
     # Glyph codes
 
@@ -241,13 +257,16 @@ class Describer:
         best = (now, stretch, "")
         if len(stretch) < 8 or now <= 8 + len(stretch) // 8:  # too little to tell, or shorter than any conversion can be
             return best
-        for f in self.families:
-            if _covers(f.signs, stretch):
+        raw = stretch.encode("utf-8", "surrogatepass")
+        for i in self.cover.of(stretch):
+            if i < len(self.families):
+                f = self.families[i]
                 got = f.convert(stretch)
                 if DEVA.search(got):
                     best = min(best, (self.length(got) + FAMILY_COST, got, f.name), key=lambda x: x[0])
-        n, name = self.glyph_length(stretch)
-        best = min(best, (n + UNKNOWN_COST, "", name), key=lambda x: x[0])
+            else:
+                name, c = self.glyphs[i - len(self.families)]
+                best = min(best, (len(c.compress(raw)) + UNKNOWN_COST, "", name), key=lambda x: x[0])
         return (best[0], "", UNKNOWN) if not best[2] and _symbols_for_letters(stretch) and now > len(stretch) else best
 
     def described(self, text: str, compared: bool = True) -> tuple[int, str, tuple[str, ...], bool]:
@@ -293,11 +312,13 @@ class Describer:
 
     def _by_family(self, part: str) -> dict[str, int]:
         """Description lengths by the families that have the part's signs."""
-        raw = part.encode("utf-8", "surrogatepass")
-        out = {k: len(c.compress(raw)) for k, (c, signs) in self.glyphs.items() if _covers(signs, part)}
-        for f in self.families:
-            if _covers(f.signs, part) and DEVA.search(to := f.convert(part)):
-                out[f.name] = self.length(to)
+        out: dict[str, int] = {}
+        for i in self.cover.of(part):
+            if i >= len(self.families):
+                name, c = self.glyphs[i - len(self.families)]
+                out[name] = len(c.compress(part.encode("utf-8", "surrogatepass")))
+            elif DEVA.search(to := self.families[i].convert(part)):
+                out[self.families[i].name] = self.length(to)
         return out
 
     def _word(self, word: str) -> tuple[int, dict[str, int]]:
@@ -380,6 +401,10 @@ class Describer:
             out.append((rest, tail, "", tail))
         return [(x[0] - self.frame * (i > 0), *x[1:]) for i, x in enumerate(out)]
 
+    def _lost(self, text: str) -> bool:
+        """Whether the text is described better without the signs that stand for what was lost."""
+        return self.described(LOST.sub("", text))[0] + STEP_COST < self.described(text)[0]
+
     def examine(self, text: str) -> tuple[str, str, str | None] | None:
         """(kind, chain, restored or None) for an affected text, None for a sound one."""
         if PAIR.search(text) is None and not _OUTSIDE.search(text):
@@ -387,13 +412,14 @@ class Describer:
         readings = self.readings(text)
         best = None
         for got, chain in readings:
-            n, got, families, whole = self.described(got, len(readings) > 1)
-            n += STEP_COST * len(chain) + BOTH_COST * bool(chain and families) - (0 if chain or families else MARGIN)
+            reading = got
+            n, got, families, whole = self.described(reading, len(readings) > 1)
+            n += STEP_COST * len(chain) + BOTH_COST * bool(chain and families) + MARGIN * bool(families)
             if best is None or n < best[0]:
-                best = (n, got, chain, families, whole)
-        _, got, chain, families, whole = best
+                best = (n, got, chain, families, whole, reading)
+        _, got, chain, families, whole, reading = best
         lost = LOST.search(got) is not None
-        if not chain and not families and not lost:
+        if not chain and not families and not (lost and self._lost(reading)):
             return None
         kind = "lost" if lost else "encoding" if not families else "glyph codes"
         return kind, " ".join((*chain, *families)), got if whole and not lost and got != text else None
@@ -420,66 +446,73 @@ class Trainer:
     """Bounds of what the dictionaries are trained on."""
 
     texts_a_language: int = 3000
-    text_chars: int = 600
+    texts_of_all_languages: int = 60_000
+    least_texts: int = 8  # of a language
+    text_chars: int = 600  # of a passage
     examples_a_family: int = 1500
     dictionary_bytes: int = 96 * 1024
+    bytes_of_all_families: int = 64 << 20
     least_examples: int = 12
+    undetermined: tuple[str, ...] = ("", "und")
 
-    def dictionary(self, texts: Iterable[str]) -> bytes:
-        samples = [t[: self.text_chars].encode("utf-8") for t in texts if t]
+    def dictionary(self, texts: Iterable[str], most: int | None = None) -> bytes:
+        most = most or self.dictionary_bytes
+        samples = [t[: self.text_chars].encode("utf-8", "surrogatepass") for t in texts if t]
         if sum(map(len, samples)) < 8 * 1024:
             samples = samples or [b" "]
         try:
-            return zstandard.train_dictionary(self.dictionary_bytes, samples, level=LEVEL, k=64, d=8).as_bytes()
+            return zstandard.train_dictionary(most, samples, level=LEVEL, k=64, d=8).as_bytes()
         except zstandard.ZstdError:  # too little to train on: the texts themselves
-            return b"".join(samples)[-self.dictionary_bytes :]
+            return b"".join(samples)[-most:]
 
-    def model(self, sound: dict[str, list[str]], rules: dict[str, dict[str, str]], examples: dict[str, list[str]], more: Iterable[str] = ()) -> Model:
-        """``sound``: texts by language; ``examples``: texts by family label, which may be wrong; ``more``: unlabelled texts.
+    def languages(self, sound: dict[str, list[str]], rules: dict[str, dict[str, str]], more: Iterable[str] = ()) -> Model:
+        """``sound``: texts by language; ``more``: unlabelled texts.
 
         Of the unlabelled texts those are added to a language that have no candidate
         decoding and are described well by it, so that its dictionary knows the signs
-        and names that the labelled texts lack.
+        and names that the labelled texts lack. Labelled texts that have a candidate
+        decoding are left out, so that no dictionary knows misread names.
         """
-        base = Model({k: self.dictionary(v) for k, v in sound.items() if v} or {"en": b" "}, dict(rules))
+        deva = frozenset(k for k, v in sound.items() if 2 * sum(len(DEVA.findall(t)) for t in v) > sum(len(LETTER.findall(t)) for t in v))
+        base = Model({k: self.dictionary(v) for k, v in sound.items() if v} or {"en": b" "}, deva, dict(rules))
         look = Describer(base)
-        added: dict[str, list[str]] = {k: list(v) for k, v in sound.items()}
+        doubtful = lambda t: LOST.search(t) is not None or next(look.chains(t), None) is not None
+        added = {k: [t for t in v if not doubtful(t)] or list(v) for k, v in sound.items()}
         for t in more:
-            if LOST.search(t) or next(look.chains(t), None) or look.length(t) * 100 > 60 * len(t):
+            if doubtful(t) or look.length(t) * 100 > 60 * len(t):
                 continue
             raw = t.encode("utf-8", "surrogatepass")
             best = min(look.languages, key=lambda k: (len(look.languages[k].compress(raw)), k))
             added.setdefault(best, []).append(t)
         # The texts at hand come last: short distances are cheaper.
-        languages = {k: self.dictionary(v) for k, v in added.items() if v} or base.languages
-        look = Describer(Model(languages, dict(rules)))
-        glyphs, signs = {}, {}
-        for name, texts in examples.items():
-            if name in rules:
-                continue
-            odd = [t for t in texts if t and len(DEVA.findall(t)) * 20 <= len(t) and not LOST.search(t) and look.unexplained(t)]
-            if len(odd) >= self.least_examples:
-                glyphs[name] = self.dictionary(odd)
-                seen = Counter("".join(odd))
-                signs[name] = "".join(sorted(ch for ch, n in seen.items() if n * 1000 >= seen.total() and ch != " "))
-        return Model(languages, dict(rules), glyphs, signs)
+        return Model({k: self.dictionary(v) for k, v in added.items() if v} or base.languages, deva, dict(rules))
 
+    def family(self, look: Describer, texts: list[str], most: int | None = None) -> tuple[bytes, str] | None:
+        """(dictionary, signs) of a family without rules, from texts that may carry its name wrongly; None for too few."""
+        odd = [t for t in texts if t and len(DEVA.findall(t)) * 20 <= len(t) and not LOST.search(t) and look.unexplained(t)]
+        if len(odd) < self.least_examples:
+            return None
+        seen = Counter("".join(odd))
+        return self.dictionary(odd, most), "".join(sorted(ch for ch, n in seen.items() if n * 1000 >= seen.total() and ch != " "))
 
-def _sampled(df: DataFrame, ident: Column, group: Column, most: int, groups: int = 64) -> dict[str, list[str]]:
-    """Up to about ``most`` texts of each group, the same on every run: a hash of the identifier decides.
+    def model(self, sound: dict[str, list[str]], rules: dict[str, dict[str, str]], examples: dict[str, list[str]], more: Iterable[str] = ()) -> Model:
+        """Both on the driver, for tests and small lists; ``examples``: texts by family label."""
+        made = self.languages(sound, rules, more)
+        look = Describer(made)
+        found = {name: got for name, texts in examples.items() if name not in rules and (got := self.family(look, texts))}
+        return Model(made.languages, made.devanagari, dict(rules), {k: v[0] for k, v in found.items()}, {k: v[1] for k, v in found.items()})
 
-    ``df`` has the column ``text``. Groups beyond the ``groups`` largest are left out.
-    """
-    rows = df.select(ident.cast("string").alias("ident"), group.alias("group"), "text").where(F.col("text").isNotNull() & (F.col("text") != "") & F.col("group").isNotNull())
-    sizes = rows.groupBy("group").count().orderBy(F.desc("count"), "group").limit(groups).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*(x for g, n in sizes for x in (F.lit(g), F.lit(min(1 << 20, (most << 20) // n + 1)))))
-    kept = rows.where(F.pmod(F.xxhash64("ident"), F.lit(1 << 20)) < share[F.col("group")]).limit(2 * most * len(sizes))
-    out: dict[str, list[str]] = {}
-    for g, _, t in sorted((g, i, t) for i, g, t in kept.collect()):
-        out.setdefault(g, []).append(t)
-    return {g: ts[:most] for g, ts in sorted(out.items())}
+
+def _passage(ident: Column, text: Column, chars: int) -> Column:
+    """A passage of the text at a place that the identifier decides; the whole text if it is short."""
+    room = F.greatest(F.length(text) - chars + 1, F.lit(1))
+    return F.substring(text, (F.pmod(F.xxhash64(ident), room) + 1).cast("int"), F.lit(chars))
+
+
+def _sampled(df: DataFrame, most: int, sizes: DataFrame) -> DataFrame:
+    """About ``most`` rows of each ``group``, the same on every run: a hash of ``ident`` decides."""
+    share = F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("n")) + 1)
+    return df.join(sizes, "group").where(F.pmod(F.xxhash64("ident"), F.lit(1 << 20)) < share).drop("n")
 
 
 def train(
@@ -489,19 +522,50 @@ def train(
 
     ``labelled``: ident, lang, text (sound); ``unlabelled``: ident, text; ``rules``:
     family_id, source, target; ``examples``: ident, family_id, text (labels may be wrong).
+    Languages are trained on the driver, families each in a task of their own.
     """
     t = trainer or Trainer()
-    start = F.substring("text", 1, t.text_chars).alias("text")  # only of the training sample
-    cut = lambda df, *more: df.select("ident", *more, start)
-    sound = _sampled(cut(labelled, "lang").where(F.col("lang").isin("en", "hi", "mr")), F.col("ident"), F.col("lang"), t.texts_a_language)
-    more = _sampled(cut(unlabelled), F.col("ident"), F.lit("all"), t.texts_a_language).get("all", [])
-    shown = _sampled(cut(examples, "family_id"), F.col("ident"), F.col("family_id"), t.examples_a_family)
+    spark = labelled.sparkSession
+
+    def rows(df: DataFrame, group: Column) -> DataFrame:
+        ident = F.col("ident").cast("string")
+        full = df.where(F.col("text").isNotNull() & (F.col("text") != "") & group.isNotNull() & F.col("ident").isNotNull())
+        return full.select(ident.alias("ident"), group.alias("group"), _passage(ident, F.col("text"), t.text_chars).alias("text"))
+
+    def sizes(df: DataFrame) -> DataFrame:
+        return df.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+
+    def texts(df: DataFrame, most: int, n: DataFrame, groups: int) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for g, _, x in sorted(tuple(r) for r in _sampled(df, most, n).select("group", "ident", "text").limit(2 * most * max(1, groups)).collect()):
+            out.setdefault(g, []).append(x)
+        return {g: xs[:most] for g, xs in sorted(out.items())}
+
+    spoken = rows(labelled.where(~F.coalesce(F.lower(F.trim("lang")), F.lit("")).isin(*t.undetermined)), F.col("lang"))
+    n_spoken = cut(sizes(spoken).where(F.col("n") >= t.least_texts))
+    languages = n_spoken.count()
+    a_language = min(t.texts_a_language, t.texts_of_all_languages // max(1, languages))
+    sound = texts(spoken, a_language, n_spoken, languages)
+    any_text = rows(unlabelled, F.lit("all"))
+    more = texts(any_text, t.texts_a_language, sizes(any_text), 1).get("all", [])
     table: dict[str, dict[str, str]] = {}
     for family, source, target in rules.where("family_id IS NOT NULL AND source IS NOT NULL AND source != ''").select("family_id", "source", F.coalesce("target", F.lit(""))).distinct().limit(MOST_RULES + 1).collect():
         table.setdefault(family, {})[source] = target
     if sum(map(len, table.values())) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    return t.model(sound, table, shown, more)
+    made = t.languages(sound, table, more)
+    shown = rows(examples, F.col("family_id"))
+    n_shown = cut(sizes(shown))
+    most = max(2048, min(t.dictionary_bytes, t.bytes_of_all_families // max(1, n_shown.count())))
+    shared = spark.sparkContext.broadcast(made)
+
+    def family(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["group"].iloc[0]
+        got = None if name in shared.value.families else t.family(_describer(shared.value), pdf.sort_values(["ident", "text"])["text"].tolist(), most)
+        return pd.DataFrame([(name, *got)] if got else [], columns=["name", "dictionary", "signs"])
+
+    found = sorted(_sampled(shown, t.examples_a_family, n_shown).groupBy("group").applyInPandas(family, "name string, dictionary binary, signs string").collect())
+    return Model(made.languages, made.devanagari, table, {k: bytes(d) for k, d, _ in found}, {k: x for k, _, x in found})
 
 
 MOST_RULES = 200_000

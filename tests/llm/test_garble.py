@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tarazu.llm.garble import Describer, Trainer, decoders, garbled, train
+from tarazu.llm.garble import FOREIGN, Describer, Trainer, _passage, decoders, garbled, train
 
 NOUNS = "notice tender office ledger bridge drain street water budget record clause pump meter survey permit".split()
 VERBS = "was filed|is placed|shall be kept|has been read|was sent|is approved".split("|")
@@ -105,7 +105,7 @@ def test_lost_text_is_reported_and_not_invented(look):
 def test_steps_never_touch_plain_text():
     for d in decoders():
         for t in ("plain", "", "Société", "दिनांक", "naïve café — “x”"):
-            assert d.undo(t) == t
+            assert d.undo(t, [m.span() for m in FOREIGN.finditer(t)]) == t
 
 
 def test_rows(spark):
@@ -122,3 +122,54 @@ def test_rows(spark):
     assert garbled(u.where("false"), ["ident"], "text", model).count() == 0
     nothing = train(d.where("false"), u.where("false"), rules.where("false"), none)
     assert garbled(u, ["ident"], "text", nothing).count() == 2
+
+
+def test_any_number_of_steps(look):
+    rng = random.Random(11)
+    t = marathi(rng)
+    shown = t
+    for _ in range(6):
+        shown = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in shown.encode())
+    assert look.examine(shown) == ("encoding", " ".join(["cp1252"] * 6), t)
+
+
+def test_swapped_latin_and_devanagari(look):
+    rng = random.Random(12)
+    for t in (english(rng), marathi(rng).replace("।", "")):
+        shown = "".join(chr((ord(c) & 255) << 8 | ord(c) >> 8) for c in t)
+        assert look.examine(shown) == ("encoding", "utf_16_swapped", t)
+
+
+def test_a_misread_stretch_beside_other_scripts(look):
+    rng = random.Random(13)
+    greek = "Η επιτροπή ενέκρινε τον προϋπολογισμό του δήμου για τις εργασίες "
+    wrong = marathi(rng).encode().decode("mac_roman")
+    assert look.examine(greek * 4) is None
+    assert look.examine(greek * 4 + wrong)[0] == "encoding"
+
+
+def test_training_covers_every_language_and_family(spark):
+    rng = random.Random(14)
+    labelled = [(i, lang, f(rng)) for i, (lang, f) in enumerate([("en", english), ("mr", marathi)] * 40)]
+    labelled += [(1000 + i, "de", "Die Behörde über Straßen prüft größere Änderungen.") for i in range(20)] + [(2000, "und", "x"), (2001, None, "x"), (2002, "fr", "seul")]
+    families = [(i, f"g{i % 70}", coded(marathi(rng), {k: chr(0xA1 + (ord(v) + i % 70) % 94) for k, v in UNRULED.items()})) for i in range(70 * 14)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    model = train(
+        make(labelled, "ident long, lang string, text string"),
+        make([(i, t) for i, _, t in labelled], "ident long, text string"),
+        make([("f1", v, k) for k, v in RULES["f1"].items()], "family_id string, source string, target string"),
+        make(families, "ident long, family_id string, text string"),
+    )
+    assert set(model.languages) == {"en", "mr", "de"} and model.devanagari == {"mr"}
+    assert len(model.glyphs) == 70
+
+
+def test_passages_lie_anywhere(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(0x4E00 + i) for i in range(3000))
+    df = spark.range(200).select(F.col("id").cast("string").alias("ident"), F.when(F.col("id") == 0, "short").otherwise(text).alias("text"))
+    got = {r[0]: r[1] for r in df.select("ident", _passage(F.col("ident"), F.col("text"), 600)).collect()}
+    assert got["0"] == "short"
+    starts = [text.index(v) for k, v in got.items() if k != "0"]
+    assert all(len(v) == 600 for k, v in got.items() if k != "0") and min(starts) < 300 and max(starts) > 2000
