@@ -59,7 +59,7 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 def bag_hash(text: Column) -> Column:
     """Hash of the sorted characters: equal for texts that differ in the order of their characters only."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.split(text, "")), ""), 256), 1, 16)
+    return F.substring(F.sha2(F.array_join(F.sort_array(F.split(text, "")), ""), 256), 1, 16)
 
 
 def with_text_signals(df: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ a value. ``body`` is the group of the macro averages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarazu.functions import signals as s
@@ -50,9 +50,16 @@ def gate_sweep(pages: DataFrame, column: str) -> DataFrame:
 
 
 def concordance(pages: DataFrame) -> DataFrame:
-    """Each page of an arm against the reference arm's page: the class of its script."""
-    ref = pages.where(F.col("arm") == REFERENCE).select("doc_id", "page", F.col("dev_share").alias("dev_share_ref"), F.col("loss").alias("loss_ref"), F.lit(True).alias("has_ref"))
-    got = pages.where(F.col("arm") != REFERENCE).join(ref, ["doc_id", "page"], "left")
+    """Each page of an arm against the reference arm's page: the class of its script.
+
+    A page's arms meet in one partition, so pages are measured once and not joined with
+    one another. A page has one row for each arm, which bounds the window.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    is_ref = F.col("arm") == REFERENCE
+    of_ref = lambda c: F.max(F.when(is_ref, c)).over(page)
+    seen = pages.withColumns({"dev_share_ref": of_ref(F.col("dev_share")), "loss_ref": of_ref(F.col("loss")), "has_ref": of_ref(F.lit(True))})
+    got = seen.where(~is_ref)
     arm, od = F.coalesce("dev_share", F.lit(0.0)), F.coalesce("dev_share_ref", F.lit(0.0))
     kind = (
         F.when(F.col("loss").isNotNull(), "loss")

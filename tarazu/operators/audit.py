@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tarazu.functions import fonts as fn
 from tarazu.functions import signals as s
-from tarazu.operators.dedupe import pick
 
 VERDICTS = ("SCAN", "LEGACY", "SUSPECT", "UNCLASSIFIED", "CLEAN")
 PAGE_BREAK = "\f"
@@ -20,12 +19,14 @@ def page_count(text: Column) -> Column:
 def files(documents: DataFrame) -> DataFrame:
     """One row per content hash with its document signals; the first doc_id's provenance wins.
 
-    The signals are taken before the shuffle, so the texts themselves do not move.
+    The signals are taken before the shuffle, so the texts themselves do not move. Every
+    column is picked on its own, so a report computes only the signals it needs.
     """
-    got = documents.where(F.col("sha256").isNotNull())
+    got = documents.where(F.col("sha256").isNotNull() & F.col("doc_id").isNotNull())
     narrow = ["doc_id", "sha256", "source_key", "issuing_body", "doc_type", "lang", "source"]
     measured = s.with_document_signals(got.select(*narrow, "text"), "text").withColumn("pages", F.coalesce(page_count(F.col("text")), F.lit(1))).drop("text")
-    return pick(measured, ["sha256"], ["doc_id"])
+    first = [F.min_by(c, "doc_id").alias(c) for c in measured.columns if c not in ("sha256", "doc_id")]
+    return measured.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), *first)
 
 
 def font_evidence(observations: DataFrame) -> DataFrame:
