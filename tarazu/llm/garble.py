@@ -93,21 +93,28 @@ class Table:
         more = cls(0x80, 0xC0)
         self.found = re.compile(f"{cls(0xC2, 0xE0)}{more}|{cls(0xE0, 0xF0)}{more}{more}|{cls(0xF0, 0xF5)}{more}{more}{more}")
         self.to_bytes = {c: chr(b) for c, b in self.byte.items()}
+        self.leads = frozenset("".join(signs[b] for b in range(0xC2, 0xF5)))
 
     def undo(self, text: str, runs: list[tuple[int, int]]) -> str:
         """Undo the reading in every run of foreign signs of which at least half was read so."""
-        by_run: dict[tuple[int, int], list[re.Match]] = {}
-        k = 0
-        for f in self.found.finditer(text):  # every match lies inside a run
-            while runs[k][1] <= f.start():
+        if self.leads.isdisjoint(text):
+            return text
+        likely, k, a, z, matched = [], -1, 0, 0, 0
+        for at, end in map(re.Match.span, self.found.finditer(text)):  # every match lies inside a run
+            if at >= z:
+                if matched * 2 >= z - a and k >= 0:
+                    likely.append((a, z))
                 k += 1
-            by_run.setdefault(runs[k], []).append(f)
+                while runs[k][1] <= at:
+                    k += 1
+                (a, z), matched = runs[k], 0
+            matched += end - at
+        if k >= 0 and matched * 2 >= z - a:
+            likely.append((a, z))
         out, done = [], 0
-        for (a, z), found in by_run.items():
-            if sum(f.end() - f.start() for f in found) * 2 < z - a:
-                continue
+        for a, z in likely:
             parts, at, undone = [], a, 0
-            for f in found:
+            for f in self.found.finditer(text, a, z):
                 try:
                     got = f[0].translate(self.to_bytes).encode("latin-1").decode("utf-8")
                 except UnicodeDecodeError:
@@ -217,10 +224,12 @@ class Describer:
 
     def length(self, text: str) -> int:
         """The shortest description of a text as sound text of some language, in bytes."""
+        if text.isascii():
+            raw = text.encode()
+            return min([len(c.compress(raw)) for c in self.by_script[False]])
         raw = text.encode("utf-8", "surrogatepass")
-        deva = DEVA.search(text) is not None
-        least = min(len(c.compress(raw)) for c in self.by_script[deva])
-        return least if len(raw) == len(text) else least + sum(map(len, FOREIGN_SIGNS.findall(text)))
+        least = min([len(c.compress(raw)) for c in self.by_script[DEVA.search(text) is not None]])
+        return least + len("".join(FOREIGN_SIGNS.findall(text)))
 
     def unexplained(self, text: str) -> bool:
         """Neither sound nor restorable: no reading is short for the length of the text."""
@@ -267,7 +276,7 @@ class Describer:
             else:
                 name, c = self.glyphs[i - len(self.families)]
                 best = min(best, (len(c.compress(raw)) + UNKNOWN_COST, "", name), key=lambda x: x[0])
-        return (best[0], "", UNKNOWN) if not best[2] and _symbols_for_letters(stretch) and now > len(stretch) else best
+        return (best[0], "", UNKNOWN) if not best[2] and now > len(stretch) and _symbols_for_letters(stretch) else best
 
     def described(self, text: str, compared: bool = True) -> tuple[int, str, tuple[str, ...], bool]:
         """(description length, text with glyph codes restored, families met, whether all was restored).
@@ -321,14 +330,18 @@ class Describer:
                 out[self.families[i].name] = self.length(to)
         return out
 
-    def _word(self, word: str) -> tuple[int, dict[str, int]]:
-        """Description length of a word as it stands, and those by the families that have its signs."""
-        got = self.seen.get(word)
+    def _word(self, part: str) -> tuple[int, dict[str, int]]:
+        """Description length of a word or a few as they stand, and those by the families that have their signs.
+
+        Several words that are described shortly as they stand are no codes.
+        """
+        got = self.seen.get(part)
         if got is None:
-            now, by = self.length(word), self._by_family(word) if word else {}
-            if len(self.seen) >= 100_000:
+            now = self.length(part)
+            plain = not part or (" " in part and (now - self.frame) * 100 <= SHORT * len(part))
+            if len(self.seen) >= 200_000:
                 self.seen.clear()
-            got = self.seen[word] = now, by
+            got = self.seen[part] = now, {} if plain else self._by_family(part)
         return got
 
     def _runs(self, words: list[str]) -> list[tuple[int, int]]:
@@ -337,9 +350,9 @@ class Describer:
         # Words of ASCII codes say too little alone; a few together do.
         for i in range(len(words) - FEW + 1):
             part = " ".join(words[i : i + FEW])
-            now = self.length(part)
-            if (now - self.frame) * 100 > SHORT * len(part):
-                for k, n in self._by_family(part).items():
+            now, by = self._word(part)
+            if by:
+                for k, n in by.items():
                     if n < now:
                         for j in range(i, i + FEW):
                             alone, by = costs[j]
