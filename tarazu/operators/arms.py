@@ -26,7 +26,11 @@ def _macro(rows: DataFrame, by: str, hit: Column, among: Column, name: str) -> D
 
 
 def loss_report(pages: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Per arm: pages, characters a page, shares of empty pages, lost and control characters, failures."""
+    """Per arm: pages, characters a page, shares of empty pages, lost and control characters, failures, errors.
+
+    ``errors`` has a row with its ``arm`` for each document the arm could not read; such
+    documents have no pages and are counted beside them.
+    """
     n = F.count(F.lit(1))
     chars = F.greatest(F.sum(F.coalesce("n_chars", F.lit(0))), F.lit(1))
     got = pages.groupBy("arm").agg(
@@ -37,7 +41,11 @@ def loss_report(pages: DataFrame, errors: DataFrame | None = None) -> DataFrame:
         F.round(F.sum("control_chars") / chars, 9).alias("control_share"),
         F.round(F.count_if(F.col("loss").isNotNull()) / n, 6).alias("fail_share"),
     )
-    return got.join(_macro(pages, "arm", F.col("loss").isNotNull(), F.lit(True), "fail_macro"), "arm")
+    got = got.join(_macro(pages, "arm", F.col("loss").isNotNull(), F.lit(True), "fail_macro"), "arm")
+    zero = F.lit(0).cast("long")
+    if errors is None:
+        return got.withColumn("errors", zero)
+    return got.join(errors.groupBy("arm").agg(F.count(F.lit(1)).alias("errors")), "arm", "left").withColumn("errors", F.coalesce("errors", zero))
 
 
 def gate_sweep(pages: DataFrame, column: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarazu.functions import charclass as cc
@@ -10,6 +10,7 @@ from tarazu.functions import signals as s
 from tarazu.operators import convert as cv
 from tarazu.operators import families as fa
 from tarazu.operators import mapping as mp
+from tarazu.operators.sampling import capped_sample
 from tarazu.session import cut, spread, table
 
 TRAIN_SHARE = 70
@@ -88,6 +89,38 @@ def family_purity(spark: SparkSession, d: str) -> DataFrame:
     return fa.family_stats(_convicted(spark, d).join(greedy_families(spark, d).select("obs_id", "family"), "obs_id"))
 
 
+def family_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What the clusters hold together: every convicted observation with a signature, once."""
+    got = greedy_families(spark, d)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("obs_id").alias("n_obs"))
+
+
+def family_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Families of transcription by their pages, named by rank and commonest font of their files."""
+    t = _transcriptions(spark, d).where("family_id IS NOT NULL").select("transcription_id", "family_id", "sha256")
+    o = table(spark, d, "font_observation").dropDuplicates(["obs_id"]).where("font_name IS NOT NULL").select("sha256", "font_name")
+    n = t.groupBy("family_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    names = t.join(o, "sha256").groupBy("family_id", "font_name").agg(F.count(F.lit(1)).alias("k"))
+    top = names.groupBy("family_id").agg(F.min_by("font_name", F.struct(-F.col("k"), F.col("font_name"))).alias("top_name"))
+    # One row a family.
+    ranked = n.join(top, "family_id", "left").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_pages"), "family_id")))
+    return ranked.select("family_id", "n_pages", fa.family_slug("rank", "top_name").alias("slug"))
+
+
+def matra_reorder_repha(spark: SparkSession, d: str) -> DataFrame:
+    """Typed text with every repha marked behind its cluster, as a converter leaves it, and put back."""
+    t = _transcriptions(spark, d).where("human_text IS NOT NULL")
+    moved = F.regexp_replace("human_text", f"{cv.REPHA}({cc.java(cc.CONSONANT)})", "$1" + cv.MARK + cv.REPHA)
+    back = cv.reorder_matras(moved)
+    return t.select("transcription_id", F.md5(moved).alias("moved_md5"), F.md5(back).alias("back_md5"))
+
+
+def excerpt_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The head of every document's excerpts."""
+    got = excerpt_windows(spark, d).where("kind = 'head'")
+    return got.select("doc_id", "char_start", F.md5("excerpt").alias("excerpt_md5"))
+
+
 def visual_order(spark: SparkSession, d: str) -> DataFrame:
     return _transcriptions(spark, d).where("ocr_text IS NOT NULL").select("transcription_id", F.md5(cv.visual_order(F.col("ocr_text"))).alias("visual_md5"))
 
@@ -122,18 +155,32 @@ def transcription_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negative_control(spark: SparkSession, d: str) -> DataFrame:
-    """Every family's rules over clean Devanagari excerpts: they must change nothing."""
+    """Every family's rules over clean excerpts.
+
+    The gate keeps all rules away from clean Devanagari, so it must change nothing there;
+    clean English passes the gate and reaches the rules, which shows what it would cost
+    to convert a text that was never coded.
+    """
     tables = cv.rule_tables(table(spark, d, "mapping_entry"))
-    x = s.with_page_measures(_excerpts(spark, d).select("excerpt_id", "text"), "text").where("dev_share > 0.30 AND n_chars >= 25").select("excerpt_id", "text")
-    rows = x.select("excerpt_id", "text", F.explode(F.array(*map(F.lit, sorted(tables)))).alias("family_id"))
+    x = s.with_text_signals(s.with_page_measures(_excerpts(spark, d).select("excerpt_id", "text"), "text"), "text")
+    sound = (F.col("english_ratio") >= s.PERFONT_ENGLISH) & (F.col("n_mojibake") == 0) & (F.col("body_dev_chars") == 0)
+    script = F.when(F.col("dev_share") > 0.30, "devanagari").when(sound, "latin")
+    x = x.where("n_chars >= 25").select("excerpt_id", "text", script.alias("script")).where("script IS NOT NULL")
+    rows = x.select("excerpt_id", "text", "script", F.explode(F.array(*map(F.lit, sorted(tables)))).alias("family_id"))
     got = cv.convert_texts(rows, "family_id", "text", tables)
     rate = lambda c: F.regexp_count(c, F.lit(s.INVALID_MATRA))
-    return got.groupBy("family_id").agg(
+    return got.groupBy("family_id", "script").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("converted") == F.col("text")).alias("unchanged"),
         F.count_if(rate(F.col("converted")) > rate(F.col("text"))).alias("worse"), F.round(F.avg("coverage"), 6).alias("mean_coverage"),
     )
 
 
+def negative_control_frame(spark: SparkSession, d: str) -> DataFrame:
+    """How many clean excerpts each family's rules are tried on, and that Devanagari stays as it is."""
+    got = negative_control(spark, d)
+    return got.select("family_id", "script", "n", (F.col("unchanged") == F.col("n")).alias("kept")).withColumn("kept", F.when(F.col("script") == "devanagari", F.col("kept")))
+
+
 def _bucket(sha: str):
     return F.conv(F.substring(F.sha2(F.col(sha), 256), 1, 8), 16, 10).cast("long") % 100
 
@@ -143,11 +190,32 @@ def hash_train_test_split(spark: SparkSession, d: str) -> DataFrame:
     return f.select("sha256", F.when(_bucket("sha256") < TRAIN_SHARE, "train").otherwise("test").alias("split"))
 
 
-def _scorable(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with a family whose text layer holds no Devanagari while the OCR shows it."""
+MIN_PAGE_CHARS, MAX_TEXT_DEV, MIN_OCR_DEV = 200, 0.05, 0.40
+
+
+def _pages(spark: SparkSession, d: str, least_ocr_dev: float | None) -> DataFrame:
+    """Pages with a family whose text layer holds no Devanagari, both arms of more than 200 characters.
+
+    With ``least_ocr_dev`` the OCR must show Devanagari. A family without a page of that
+    length is represented by its shorter ones.
+    """
     t = _transcriptions(spark, d).where("family_id IS NOT NULL AND legacy_text IS NOT NULL AND ocr_text IS NOT NULL")
     dev = lambda c: s.ratio(s.count_dense(s.body(F.col(c)), cc.DEVANAGARI), F.length(s.body(F.col(c))))
-    return t.where((dev("legacy_text") < 0.05) & (dev("ocr_text") > 0.40)).select("transcription_id", "sha256", "family_id", "legacy_text", "ocr_text", (_bucket("sha256") < TRAIN_SHARE).alias("train"))
+    t = t.where(dev("legacy_text") < MAX_TEXT_DEV)
+    if least_ocr_dev is not None:
+        t = t.where(dev("ocr_text") > least_ocr_dev)
+    long = (F.length("legacy_text") > MIN_PAGE_CHARS) & (F.length("ocr_text") > MIN_PAGE_CHARS)
+    t = t.select("transcription_id", "sha256", "family_id", "legacy_text", "ocr_text", (_bucket("sha256") < TRAIN_SHARE).alias("train"), long.alias("long"))
+    return t.join(t.groupBy("family_id").agg(F.bool_or("long").alias("any_long")), "family_id").where("long OR NOT any_long").drop("long", "any_long")
+
+
+def _scorable(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d, MIN_OCR_DEV)
+
+
+def evaluation_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages a conversion is scored on: as those it is learned from, whatever the OCR shows."""
+    return _pages(spark, d, None).select("transcription_id", "family_id", "train")
 
 
 def _pairs(pages: DataFrame) -> DataFrame:
@@ -158,22 +226,78 @@ def scorable_pages(spark: SparkSession, d: str) -> DataFrame:
     return _scorable(spark, d).select("transcription_id", "family_id", "train")
 
 
+def training_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Full pages with both arms of documents in any family: what rules can be learned from."""
+    t = _transcriptions(spark, d).where("legacy_text IS NOT NULL AND ocr_text IS NOT NULL AND page > 0")
+    fams = t.where("family_id IS NOT NULL").select("sha256").distinct()
+    got = t.join(fams, "sha256", "left_semi")
+    return got.select("transcription_id", "sha256", "page", F.length("legacy_text").cast("long").alias("n_text"), F.length("ocr_text").cast("long").alias("n_ocr"))
+
+
+def table_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and characters of the training pages."""
+    return training_pages(spark, d).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_text"), F.lit(0)).alias("n_text"), F.coalesce(F.sum("n_ocr"), F.lit(0)).alias("n_ocr"))
+
+
+DRAWN_A_FAMILY, DRAW_SEED, SIGNATURE_MIN = 10, 4242, 0.70
+
+
+def transcription_draw(spark: SparkSession, d: str) -> DataFrame:
+    """Pages to be typed: of each family by the page's own signature, those with the smallest seeded keys."""
+    got = nearest_centroid(spark, d).select("family_id", "transcription_id")
+    return capped_sample(got, "family_id", "transcription_id", DRAWN_A_FAMILY, DRAW_SEED)
+
+
+def transcription_relabel(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the family they were drawn under and the family their signature shows."""
+    t = _transcriptions(spark, d).select("transcription_id", F.col("family_id").alias("drawn"))
+    got = nearest_centroid(spark, d).withColumnRenamed("family_id", "shown").join(t, "transcription_id")
+    return got.groupBy("drawn", "shown").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_signature_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Training pages that keep near their family's centroid (cosine of 0.70 or more)."""
+    t = _transcriptions(spark, d).where("family_id IS NOT NULL").select("transcription_id", "family_id")
+    sig = fa.signatures(_transcriptions(spark, d), "transcription_id", "legacy_text")
+    own = t.join(fa.centroids(_page_signatures(spark, d), "transcription_id", "family_id").withColumnRenamed("freq", "fc"), "family_id")
+    dot = sig.join(own, ["transcription_id", "ch"]).groupBy("transcription_id", "family_id").agg(F.sum(F.col("freq") * F.col("fc")).alias("dot"))
+    norms = sig.groupBy("transcription_id").agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("na"))
+    sizes = fa.centroids(_page_signatures(spark, d), "transcription_id", "family_id").groupBy("family_id").agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("nb"))
+    got = dot.join(norms, "transcription_id").join(sizes, "family_id").withColumn("cosine", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6))
+    return got.where(F.col("cosine") >= SIGNATURE_MIN).select("transcription_id", "family_id", "cosine")
+
+
+def em_mapping_rules_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Rules learned with a third of each family's known rules as hand-made seeds."""
+    known = table(spark, d, "mapping_entry").where("family_id IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL")
+    share = F.pmod(F.xxhash64("family_id", "source"), F.lit(3)) == 0
+    seeds: dict[str, dict[str, str]] = {}
+    for family, source, target in sorted(known.where(share).select("family_id", "source", "target").distinct().limit(cv.MOST_RULES).collect()):
+        seeds.setdefault(family, {})[source] = target
+    return mp.learn(_pairs(_scorable(spark, d)), seeds=seeds)
+
+
 def em_mapping_rules(spark: SparkSession, d: str) -> DataFrame:
     return mp.learn(_pairs(_scorable(spark, d)))
 
 
 def heldout_conversion_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rules learned on the training files, scored on all: per family and part."""
-    pages = cut(_scorable(spark, d))
-    rules = mp.learn(_pairs(pages.where("train")))
+    """Rules learned on the scorable pages of the training files, scored on all evaluation pages: per family and part.
+
+    ``valid_before`` and ``valid_after`` are the shares of pages whose text is structurally
+    valid as it stands and converted.
+    """
+    rules = mp.learn(_pairs(_scorable(spark, d).where("train")))
     tables = cv.rule_tables(rules)
-    got = cv.convert_texts(pages, "family_id", "legacy_text", tables).where("converted IS NOT NULL")
-    t = s.with_text_signals(got.withColumn("sim", F.round(cv.similarity_udf("converted", "ocr_text"), 4)), "converted")
-    t = t.withColumn("rate", F.round("invalid_rate_per_1k", 2))
+    got = cut(cv.convert_texts(_pages(spark, d, None), "family_id", "legacy_text", tables).where("converted IS NOT NULL"))
+    rated = lambda df, c, name: s.with_text_signals(df, c).withColumn(name, F.round("invalid_rate_per_1k", 2)).select(*df.columns, name)
+    t = rated(rated(got.withColumn("sim", F.round(cv.similarity_udf("converted", "ocr_text"), 4)), "legacy_text", "before"), "converted", "rate")
+    valid = lambda c: F.round(F.count_if(F.col(c) < s.SUSPECT_RATE_PER_1K) / F.count(F.lit(1)), 6)
     under = [F.round(F.count_if(F.col("rate") < k) / F.count(F.lit(1)), 6).alias(f"under_{k}") for k in (2, 10, 25, 50)]
     return t.groupBy("family_id", F.when(F.col("train"), "train").otherwise("test").alias("split")).agg(
         F.count(F.lit(1)).alias("pages"), F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("sim"), 6).alias("mean_similarity"),
-        cv.upper_median("sim").alias("median_similarity"), F.round(F.avg("rate"), 6).alias("mean_rate"), cv.upper_median("rate").alias("median_rate"), *under,
+        cv.upper_median("sim").alias("median_similarity"), F.round(F.avg("rate"), 6).alias("mean_rate"), cv.upper_median("rate").alias("median_rate"),
+        valid("before").alias("valid_before"), valid("rate").alias("valid_after"), *under,
     )
 
 
@@ -187,7 +311,8 @@ QUERIES = {
     for f in (
         char_signatures, signature_cosine, centroid_by_family, nearest_centroid, grain_drift, excerpt_text_by_observation, greedy_families, family_purity,
         visual_order, matra_reorder, legacy_gate, convert_by_family, transcription_scores, negative_control, hash_train_test_split, scorable_pages,
-        em_mapping_rules, heldout_conversion_report, excerpt_windows,
+        em_mapping_rules, em_mapping_rules_seeded, heldout_conversion_report, excerpt_windows, evaluation_pages, training_pages, table_totals,
+        transcription_draw, transcription_relabel, page_signature_filter, negative_control_frame, family_slugs, family_sizes, excerpt_heads, matra_reorder_repha,
     )
 }
 
@@ -222,6 +347,12 @@ _CONV = f"SELECT o.obs_id, sha256, font_name, detector_label AS label, x.text FR
 _DEVSHARE = lambda c: f"(CASE WHEN length({s.sql_body(c)}) > 0 THEN {s.sql_count(s.sql_body(c), cc.re2(cc.DEVANAGARI))} / length({s.sql_body(c)})::DOUBLE ELSE 0 END)"
 _SPLIT = "('0x' || substr(sha256(sha256), 1, 8))::BIGINT % 100 < 70"
 
+def _sql_pages(more: str) -> str:
+    return f"""WITH p AS (SELECT *, length(legacy_text) > {MIN_PAGE_CHARS} AND length(ocr_text) > {MIN_PAGE_CHARS} AS long FROM {_TR} WHERE family_id IS NOT NULL AND legacy_text IS NOT NULL AND ocr_text IS NOT NULL AND {_DEVSHARE('legacy_text')} < {MAX_TEXT_DEV} {more})
+SELECT transcription_id, family_id, {_SPLIT} AS train FROM p JOIN (SELECT family_id, bool_or(long) AS any_long FROM p GROUP BY 1) USING (family_id) WHERE long OR NOT any_long"""
+
+
+_TRAINING = f"FROM {_TR} WHERE legacy_text IS NOT NULL AND ocr_text IS NOT NULL AND page > 0 AND sha256 IN (SELECT sha256 FROM {_TR} WHERE family_id IS NOT NULL AND legacy_text IS NOT NULL AND ocr_text IS NOT NULL AND page > 0)"
 SQL = {
     "char_signatures": f"WITH {_sql_sig('sg', _TR, 'transcription_id', 'legacy_text')} SELECT transcription_id, count(*) AS n_signs, round(sqrt(sum(freq * freq)), 9) AS norm, round(max(freq), 9) AS top FROM sg GROUP BY 1",
     "signature_cosine": f"""WITH {_sql_sig('a', _TR, 'transcription_id', 'legacy_text')}, {_sql_sig('b', _TR, 'transcription_id', 'ocr_text')},
@@ -241,5 +372,24 @@ SELECT family_id, round(d / (a * b), 6) AS cosine FROM (SELECT family_id, sum(ce
     "matra_reorder": f"SELECT transcription_id, md5(b) AS back_md5, b = ocr_text AS same FROM (SELECT transcription_id, ocr_text, {_sql_reorder('replace(' + _sql_visual('ocr_text') + ', chr(2367), chr(57344) || chr(2367))')} AS b FROM {_TR} WHERE ocr_text IS NOT NULL)",
     "legacy_gate": f"SELECT excerpt_id, length(b) > 0 AND {s.sql_count('b', cc.re2(cc.DEVANAGARI))} <= {cv.MAX_DEV_SHARE} * length(b) AS legacy FROM (SELECT excerpt_id, {s.sql_body(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS b FROM {_EX})",
     "hash_train_test_split": f"SELECT sha256, CASE WHEN {_SPLIT} THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT sha256 FROM documents WHERE sha256 IS NOT NULL)",
-    "scorable_pages": f"SELECT transcription_id, family_id, {_SPLIT} AS train FROM {_TR} WHERE family_id IS NOT NULL AND legacy_text IS NOT NULL AND ocr_text IS NOT NULL AND {_DEVSHARE('legacy_text')} < 0.05 AND {_DEVSHARE('ocr_text')} > 0.40",
+    "scorable_pages": _sql_pages(f"AND {_DEVSHARE('ocr_text')} > {MIN_OCR_DEV}"),
+    "evaluation_pages": _sql_pages(""),
+    "training_pages": f"SELECT transcription_id, sha256, page, length(legacy_text)::BIGINT AS n_text, length(ocr_text)::BIGINT AS n_ocr {_TRAINING}",
+    "table_totals": f"SELECT count(*) AS n, coalesce(sum(length(legacy_text)), 0)::BIGINT AS n_text, coalesce(sum(length(ocr_text)), 0)::BIGINT AS n_ocr {_TRAINING}",
+    "negative_control_frame": f"""SELECT family_id, script, count(*) AS n, CASE WHEN script = 'devanagari' THEN true END AS kept FROM (SELECT *, CASE WHEN dev_share > 0.30 THEN 'devanagari' WHEN english_ratio >= {s.PERFONT_ENGLISH} AND n_mojibake = 0 AND body_dev_chars = 0 THEN 'latin' END AS script
+ FROM {s.sql_text_signals('(SELECT * EXCLUDE (b_) FROM ' + s.sql_page_measures('(SELECT excerpt_id, text FROM ' + _EX + ')', 'text') + ')', 'text')} WHERE n_chars >= 25), (SELECT DISTINCT family_id FROM mapping_entry WHERE family_id IS NOT NULL AND source IS NOT NULL) WHERE script IS NOT NULL GROUP BY 1, 2""",
+    "family_sizes": f"SELECT count(*) AS n, count(DISTINCT obs_id) AS n_obs FROM ({_CONV}) WHERE length(regexp_replace(coalesce(text, ''), '{_NOISE}', '', 'g')) >= {fa.MIN_SIGNATURE_CHARS}",
+    "family_slugs": f"""WITH t AS (SELECT transcription_id, family_id, sha256 FROM {_TR} WHERE family_id IS NOT NULL), n AS (SELECT family_id, count(*) AS n_pages FROM t GROUP BY 1),
+k AS (SELECT family_id, font_name, row_number() OVER (PARTITION BY family_id ORDER BY count(*) DESC, font_name) AS r FROM t JOIN (SELECT DISTINCT ON (obs_id) obs_id, sha256, font_name FROM font_observation) USING (sha256) WHERE font_name IS NOT NULL GROUP BY 1, 2)
+SELECT family_id, n_pages, printf('fam-%02d-%s', row_number() OVER (ORDER BY n_pages DESC, family_id), coalesce(nullif(substr(regexp_replace(lower(font_name), '[^a-z0-9]+', '', 'g'), 1, 12), ''), 'unnamed')) AS slug FROM n LEFT JOIN (SELECT * FROM k WHERE r = 1) USING (family_id)""",
+    "matra_reorder_repha": f"SELECT transcription_id, md5(m) AS moved_md5, md5({_sql_reorder('m')}) AS back_md5 FROM (SELECT transcription_id, regexp_replace(human_text, '\\x{{0930}}\\x{{094D}}(' || '{cc.re2(cc.CONSONANT)}' || ')', '\\1' || chr(57344) || chr(2352) || chr(2381), 'g') AS m FROM {_TR} WHERE human_text IS NOT NULL)",
+    "excerpt_heads": "SELECT doc_id, 0::BIGINT AS char_start, md5(e) AS excerpt_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 240), '^[\\s\\x{001C}-\\x{001F}\\x{0085}\\x{00A0}]+', ''), '[\\s\\x{001C}-\\x{001F}\\x{0085}\\x{00A0}]+$', '') AS e FROM documents WHERE text IS NOT NULL) WHERE e <> ''",
+}
+
+_NEAREST = SQL["nearest_centroid"]
+SQL |= {
+    "transcription_draw": f"SELECT family_id, transcription_id FROM (SELECT family_id, transcription_id, row_number() OVER (PARTITION BY family_id ORDER BY md5('{DRAW_SEED}:' || family_id || ':' || transcription_id), transcription_id) AS r FROM ({_NEAREST})) WHERE r <= {DRAWN_A_FAMILY}",
+    "transcription_relabel": f"SELECT t.family_id AS drawn, n.family_id AS shown, count(*) AS n FROM ({_NEAREST}) n JOIN {_TR} t USING (transcription_id) GROUP BY 1, 2",
+    "page_signature_filter": f"""WITH {_CENT}, n AS (SELECT family_id, sqrt(sum(freq * freq)) AS nb FROM cent GROUP BY 1), m AS (SELECT transcription_id, sqrt(sum(freq * freq)) AS na FROM sg GROUP BY 1)
+SELECT * FROM (SELECT transcription_id, family_id, round(sum(sg.freq * cent.freq) / any_value(na * nb), 6) AS cosine FROM sg JOIN fm USING (transcription_id) JOIN cent USING (family_id, ch) JOIN n USING (family_id) JOIN m USING (transcription_id) GROUP BY 1, 2) WHERE cosine >= {SIGNATURE_MIN}""",
 }
