@@ -89,15 +89,20 @@ def detector_axis(label: Column) -> Column:
     return F.when(label.isin(*POSITIVE), "positive").when(label == "NO_EVIDENCE", "no_evidence")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value; ``format_string`` rounds its shortest decimal form."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def output_reason(m: dict[str, Column] | None = None) -> Column:
     """Why one font's output is convicted, or null; silence is no evidence, not a finding."""
     c = m or {k: F.col(k) for k in ("sampled_chars", "dev_chars", "mojibake_ratio", "ascii_k_eligible", "ascii_k_ratio", "symbol_per_1k", "english_ratio")}
     judged = (c["sampled_chars"] >= s.PERFONT_MIN_CHARS) & (c["dev_chars"] <= 20)
     return F.when(
         judged,
-        F.when(c["mojibake_ratio"] >= s.PERFONT_MOJIBAKE, F.format_string("8bit(%.2f)", c["mojibake_ratio"]))
-        .when(c["ascii_k_eligible"].cast("boolean") & (c["ascii_k_ratio"] >= s.PERFONT_ASCII_K), F.format_string("ascii-remap(k=%.3f)", c["ascii_k_ratio"]))
-        .when((c["symbol_per_1k"] >= s.PERFONT_SYMBOL) & (c["english_ratio"] < s.PERFONT_ENGLISH), F.format_string("symbol-remap(%.0f/1k)", c["symbol_per_1k"])),
+        F.when(c["mojibake_ratio"] >= s.PERFONT_MOJIBAKE, F.concat(F.lit("8bit("), fixed(c["mojibake_ratio"], 2), F.lit(")")))
+        .when(c["ascii_k_eligible"].cast("boolean") & (c["ascii_k_ratio"] >= s.PERFONT_ASCII_K), F.concat(F.lit("ascii-remap(k="), fixed(c["ascii_k_ratio"], 3), F.lit(")")))
+        .when((c["symbol_per_1k"] >= s.PERFONT_SYMBOL) & (c["english_ratio"] < s.PERFONT_ENGLISH), F.concat(F.lit("symbol-remap("), fixed(c["symbol_per_1k"], 0), F.lit("/1k)"))),
     )
 
 

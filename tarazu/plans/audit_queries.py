@@ -172,6 +172,81 @@ def rebucket_transitions(spark: SparkSession, d: str) -> DataFrame:
     return _relabelled(spark, d).groupBy(F.col("detector_label").alias("old"), F.col("relabel").alias("new")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _relabelled_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every file's audit with the convictions by stored labels and by labels decided again."""
+    again = _relabelled(spark, d).groupBy("sha256").agg(
+        F.count_if(F.col("relabel").isin(*fn.CONVICTED_BY_OUTPUT)).alias("now_by_output"), F.coalesce(F.bool_or(F.col("signals_version").endswith("+deep")), F.lit(False)).alias("deep")
+    )
+    got = _audit(spark, d).drop("is_deep").join(again, "sha256", "left")
+    return got.withColumns({"now_by_output": F.coalesce("now_by_output", F.lit(0)).cast("long"), "deep": F.coalesce("deep", F.lit(False))})
+
+
+def rebucket_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts decided again from the stored signals, against the stored verdicts."""
+    got = _relabelled_evidence(spark, d)
+    again = got.withColumnRenamed("verdict", "old").withColumn("n_legacy_by_output", F.col("now_by_output")).withColumn("new", au.verdict())
+    return again.groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reconcile_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Per verdict: files whose convicted fonts agree with the audit, exceed it or fall short of it."""
+    got = _relabelled_evidence(spark, d)
+    a, b = F.col("n_legacy_by_output"), F.col("now_by_output")
+    what = F.when(a == b, "equal").when(~F.col("deep"), "mismatch").when(b > a, "deep_extra").otherwise("deep_shortfall")
+    return got.groupBy("verdict", what.alias("outcome")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def font_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's fonts in one text: "name|type" in order, joined by ";"."""
+    o = table(spark, d, "font_observation").dropDuplicates(["obs_id"]).where("font_name IS NOT NULL")
+    entry = F.concat_ws("|", F.regexp_replace("font_name", ";", " "), F.coalesce("font_type", F.lit("?")))
+    # A file's fonts are a handful.
+    return o.groupBy("sha256").agg(F.array_join(F.sort_array(F.collect_set(entry)), ";").alias("fonts"))
+
+
+def fonts_from_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The lists taken apart again: distinct fonts, named up to the last bar, typed after it."""
+    got = font_lists(spark, d).select("sha256", F.explode(F.split("fonts", ";")).alias("entry"))
+    name, kind = F.regexp_extract("entry", "^(.*)\\|([^|]*)$", 1), F.regexp_extract("entry", "^(.*)\\|([^|]*)$", 2)
+    return got.groupBy(name.alias("font_name"), kind.alias("font_type")).agg(F.count_distinct("sha256").alias("n_files"))
+
+
+def reasons_formatted(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons with their figures, decided again from the stored signals."""
+    return _relabelled(spark, d).where("reason IS NOT NULL").select("obs_id", "reason")
+
+
+def doc_types_json(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents by type as a JSON object with sorted keys."""
+    n = _docs(spark, d, "source", "doc_type", "doc_id").groupBy("source", F.coalesce("doc_type", F.lit("none")).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_type", "n"))))
+    return n.groupBy("source").agg(F.to_json(pairs).alias("types"))
+
+
+def doc_types_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """The objects read back."""
+    got = doc_types_json(spark, d).select("source", F.explode(F.from_json("types", "map<string, bigint>")).alias("doc_type", "n"))
+    return got.select("source", "doc_type", "n")
+
+
+def json_records(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of an interface ({"data": [...], "links": {...}}) navigated to their records."""
+    rows = _docs(spark, d, "doc_id", "filename", "issuing_body", "source_url").withColumn("page", F.floor(F.col("doc_id") / 50).cast("long"))
+    item = F.struct(F.col("doc_id").alias("id"), F.struct(F.col("filename").alias("title"), F.struct(F.col("issuing_body").alias("name")).alias("body")).alias("attributes"))
+    payload = F.to_json(F.struct(F.collect_list(item).alias("data"), F.struct(F.struct(F.max("source_url").alias("href")).alias("next")).alias("links")))
+    pages = rows.groupBy("page").agg(payload.alias("payload"))
+    schema = "data array<struct<id: bigint, attributes: struct<title: string, body: struct<name: string>>>>, links struct<next: struct<href: string>>"
+    got = pages.select(F.from_json("payload", schema).alias("p")).select(F.explode("p.data").alias("x"))
+    return got.select(F.col("x.id").alias("doc_id"), F.col("x.attributes.title").alias("title"), F.col("x.attributes.body.name").alias("body"))
+
+
+def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts for display: every run of white space one blank, none at the ends, 200 characters."""
+    ws = cc.java(cc.WS) + "+"
+    flat = F.regexp_replace(F.regexp_replace("text", f"^{ws}|{ws}$", ""), ws, " ")
+    return _docs(spark, d, "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.md5(flat).alias("flat_md5"), F.md5(F.substring(flat, 1, 200)).alias("shown_md5"))
+
+
 def detector_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Which kinds of evidence fire together on a file."""
     a = _audit(spark, d)
@@ -216,7 +291,8 @@ QUERIES = {
     for f in (
         verdict_by_source, audit_files, verdict_by_body, verdict_by_doc_type, prevalence_macro_pooled, go_no_go_decision, excerpt_structural,
         page_measure_loss, page_hashes, content_dedupe_first_wins, font_spans_capped, font_observation_measured, font_aggregate_xrefs,
-        reconcile_fonts_vs_audit, rebucket_transitions, detector_overlap, name_axis_counts, distinct_fonts, base_names, under_sampled_fonts,
+        reconcile_fonts_vs_audit, rebucket_transitions, rebucket_verdicts, reconcile_verdicts, font_lists, fonts_from_lists, reasons_formatted,
+        doc_types_json, doc_types_from_json, json_records, collapsed_text, detector_overlap, name_axis_counts, distinct_fonts, base_names, under_sampled_fonts,
     )
 } | {name: _signals(*columns) for name, columns in SIGNALS.items()}
 
@@ -246,7 +322,25 @@ run AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, font_na
 capped AS (SELECT doc_id, font_name, count(DISTINCT page) AS n_pages_seen, string_agg(piece, '' ORDER BY pos) FILTER (before < {CAP_CHARS}) AS text, count(*) FILTER (before < {CAP_CHARS}) AS n_pieces FROM run GROUP BY doc_id, font_name)"""
 _RELABEL = f"(SELECT *, {fn.SQL_LABEL} AS relabel FROM (SELECT *, {fn.SQL_REASON_KIND} AS kind FROM {OBS}))"
 
+_CASE = AUDIT[AUDIT.index("audit AS (SELECT *, ") + len("audit AS (SELECT *, ") : AUDIT.rindex(" AS verdict FROM evid)")]
+_AGAIN = f"""{AUDIT}, again AS (SELECT sha256, count_if(relabel IN {fn.CONVICTED_BY_OUTPUT}) AS now_by_output, coalesce(bool_or(signals_version LIKE '%+deep'), false) AS deep FROM {_RELABEL} GROUP BY 1),
+both_ AS (SELECT audit.*, coalesce(now_by_output, 0) AS now_by_output, coalesce(deep, false) AS deep FROM audit LEFT JOIN again USING (sha256))"""
+_LISTS = "SELECT sha256, string_agg(DISTINCT e, ';' ORDER BY e) AS fonts FROM (SELECT sha256, replace(font_name, ';', ' ') || '|' || coalesce(font_type, '?') AS e FROM " + OBS + " WHERE font_name IS NOT NULL) GROUP BY 1"
+_WSQ = cc.re2(cc.WS) + "+"
+_FLAT = f"regexp_replace(regexp_replace(text, '^{_WSQ}|{_WSQ}$', '', 'g'), '{_WSQ}', ' ', 'g')"
+_TYPES = "(SELECT source, coalesce(doc_type, 'none') AS doc_type, count(*) AS n FROM documents GROUP BY 1, 2)"
+
 SQL = {
+    "rebucket_verdicts": f'WITH {_AGAIN} SELECT old, "new", count(*) AS n FROM (SELECT verdict AS old, {_CASE.replace("n_legacy_by_output", "now_by_output")} AS "new" FROM both_) GROUP BY 1, 2',
+    "reconcile_verdicts": f"""WITH {_AGAIN} SELECT verdict, CASE WHEN n_legacy_by_output = now_by_output THEN 'equal' WHEN NOT deep THEN 'mismatch' WHEN now_by_output > n_legacy_by_output THEN 'deep_extra' ELSE 'deep_shortfall' END AS outcome, count(*) AS n_files FROM both_ GROUP BY 1, 2""",
+    "font_lists": _LISTS,
+    "fonts_from_lists": f"SELECT regexp_extract(e, '^(.*)\\|([^|]*)$', 1) AS font_name, regexp_extract(e, '^(.*)\\|([^|]*)$', 2) AS font_type, count(DISTINCT sha256) AS n_files FROM (SELECT sha256, unnest(string_split(fonts, ';')) AS e FROM ({_LISTS})) GROUP BY 1, 2",
+    "reasons_formatted": f"""SELECT obs_id, CASE kind WHEN '8bit' THEN printf('8bit(%.2f)', mojibake_ratio) WHEN 'ascii-remap' THEN printf('ascii-remap(k=%.3f)', ascii_k_ratio) ELSE printf('symbol-remap(%.0f/1k)', symbol_per_1k) END AS reason
+ FROM (SELECT *, {fn.SQL_REASON_KIND} AS kind FROM {OBS}) WHERE kind IS NOT NULL""",
+    "doc_types_json": f"""SELECT source, '{{' || string_agg('"' || doc_type || '":' || n, ',' ORDER BY doc_type) || '}}' AS types FROM {_TYPES} GROUP BY 1""",
+    "doc_types_from_json": f"SELECT source, doc_type, n FROM {_TYPES}",
+    "json_records": "SELECT doc_id, filename AS title, issuing_body AS body FROM documents",
+    "collapsed_text": f"SELECT doc_id, md5({_FLAT}) AS flat_md5, md5(substr({_FLAT}, 1, 200)) AS shown_md5 FROM documents WHERE text IS NOT NULL",
     "audit_files": f"WITH {AUDIT} SELECT sha256, pages, chars, dev_chars, dev_digits, ascii_digits, invalid_matras, invalid_rate_per_1k, mojibake_ratio, ascii_k_ratio, n_fonts, n_legacy_names, n_legacy_by_output, n_unknown, verdict FROM audit",
     "verdict_by_source": _sql_breakdown("source"),
     "verdict_by_body": _sql_breakdown("issuing_body"),
