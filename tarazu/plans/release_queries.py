@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarazu.functions import charclass as cc
@@ -11,7 +11,7 @@ from tarazu.operators import dedupe as dd
 from tarazu.operators import links as lk
 from tarazu.operators import release as rl
 from tarazu.plans.audit_queries import AUDIT, CAP_CHARS, _audit, _docs, _spans, _SPANS, accumulate_spans
-from tarazu.session import table
+from tarazu.session import cut, table
 
 GATED = ["source_key", "issuing_body", "doc_type", "lang", "source", "content_type", "note", "text"]
 
@@ -72,13 +72,40 @@ def verify_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return rl.verify_rebuild(want, docs).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    """A small web over the documents' hosts: index -> five lists -> an archive each -> a cellar each.
+
+    Lists hold files with an even doc_id, archives a quarter of the files, cellars the
+    rest; addresses are written in several ways, with other links between them.
+    """
+    u = table(spark, d, "documents").where("source_url IS NOT NULL").select(
+        F.regexp_extract("source_url", "^(https?://[^/]+)", 1).alias("host"), F.regexp_extract("source_url", "^https?://[^/]+(/.*)$", 1).alias("path"), "doc_id", (F.col("doc_id") % 5).alias("k")
+    )
+    lists = F.concat_ws("", *(F.lit(f"<li><a title=x href='board/tender-{k}.html#top'>Tenders {k}</a></li>") for k in range(5)))
+    noise = F.lit("<a href='mailto:x@y.example'>Mail</a> <a href='https://elsewhere.example/a.pdf'>Other</a> <a href='javascript:void(0)'>Menu</a>")
+    index = u.select("host").distinct().select(F.concat("host", F.lit("/index.html")).alias("url"), F.concat(F.lit("<ul>"), lists, noise, F.lit("</ul>")).alias("html"))
+    hrefs = [F.concat(F.lit("<a href='"), F.col("path"), F.lit("#p1'>File</a>")), F.concat(F.lit('<A class="f" HREF="..'), F.col("path"), F.lit('">PDF</A>')), F.concat(F.lit("<a href='"), F.col("host"), F.col("path"), F.lit("'>Link</a>"))]
+    link = F.when(F.col("doc_id") % 3 == 0, hrefs[0]).when(F.col("doc_id") % 3 == 1, hrefs[1]).otherwise(hrefs[2])
+    def board(name: str, which: Column, onward: str) -> DataFrame:
+        # A host's list of files is one page of HTML, as on a real host.
+        held = u.groupBy("host", "k").agg(F.array_join(F.sort_array(F.collect_list(F.when(which, link))), "\n").alias("body"))
+        return held.select(F.concat("host", F.lit(f"/board/{name}-"), "k", F.lit(".html")).alias("url"), F.concat("body", F.lit(onward[0]), "k", F.lit(onward[1])).alias("html"))
+
+    rest = F.col("doc_id") % 4
+    deeper = lambda name: (f"<p><a href='./{name}-", ".html'>Archive of notices</a></p>")
+    boards = board("tender", rest % 2 == 0, deeper("archive")).unionByName(board("archive", rest == 1, deeper("cellar"))).unionByName(board("cellar", rest == 3, ("", "")))
+    return index.unionByName(boards)
+
+
 def link_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Links of index pages; each document row serves as a page that links its file and a notice board."""
-    u = table(spark, d, "documents").where("source_url IS NOT NULL").select("source_url")
-    path = F.regexp_extract("source_url", "^https?://[^/]+(/.*)$", 1)
-    page = F.concat(F.regexp_extract("source_url", "^(https?://[^/]+)", 1), F.lit("/index.html"))
-    html = F.concat(F.lit("<ul><li><a class='f' href='"), path, F.lit("#p1'>File</a></li><li><a href=\"board/tender.html\">Notice</a> <a href='mailto:x@y'>Mail</a> <a href='https://elsewhere.example/a.pdf'>Other</a></ul>"))
-    return lk.discovered(u.select(page.alias("url"), html.alias("html")), "url", "html")
+    """What each page of the small web links: documents and pages to follow."""
+    return lk.discovered(_web(spark, d), "url", "html").select("url", "kind")
+
+
+def crawled_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents within two steps of the index pages."""
+    web = cut(_web(spark, d))
+    return lk.crawl(web, web.select("url").where("url LIKE '%/index.html'")).select("url", "depth")
 
 
 def link_status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pii_gate, manifest_export, summary_pivot, mapping_export, latest_wins_upsert, insert_ignore, append_only_conflicts, replace_children,
-        verify_rebuild, link_discovery, link_status_counts, page_of_offset,
+        verify_rebuild, link_discovery, crawled_documents, link_status_counts, page_of_offset,
     )
 }
 
@@ -109,6 +136,7 @@ _PII = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count_if(regexp_matches({c}, '{cc.re2(cc.DEVANAGARI)}'))::BIGINT AS devanagari, count_if(regexp_matches({c}, '{rl.DOB}'))::BIGINT AS dob, count_if(regexp_matches({c}, '{rl.CASTE}'))::BIGINT AS caste FROM documents"
     for c in GATED
 )
+_WEB = "u AS (SELECT regexp_extract(source_url, '^(https?://[^/]+)', 1) AS host, regexp_extract(source_url, '^https?://[^/]+(/.*)$', 1) AS path, doc_id, doc_id % 5 AS k FROM documents WHERE source_url IS NOT NULL)"
 SQL = {
     "pii_gate": _PII,
     "manifest_export": f"WITH {_MANIFEST} SELECT * FROM man",
@@ -125,8 +153,9 @@ SELECT 'refused' AS outcome, count(*) AS n FROM n SEMI JOIN o USING (obs_id, ann
 SELECT kind, count(*) AS n, count(DISTINCT obs_id) AS n_obs FROM (SELECT * FROM x ANTI JOIN v USING (obs_id) UNION ALL SELECT * FROM x WHERE kind = 'violation') GROUP BY kind""",
     "verify_rebuild": """WITH h AS (SELECT doc_id, sha256, sha256(text) AS c FROM (SELECT doc_id, sha256, text FROM documents)), f AS (SELECT sha256, c AS first FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS rn FROM h WHERE sha256 IS NOT NULL) WHERE rn = 1)
 SELECT CASE WHEN c IS NULL THEN 'unreachable' WHEN c = coalesce(first, '') THEN 'verified' ELSE 'changed' END AS status, count(*) AS n FROM h LEFT JOIN f USING (sha256) GROUP BY 1""",
-    "link_discovery": """WITH u AS (SELECT DISTINCT source_url, regexp_extract(source_url, '^(https?://[^/]+)', 1) AS host, regexp_extract(source_url, '^https?://[^/]+(/.*)$', 1) AS path FROM documents WHERE source_url IS NOT NULL)
-SELECT DISTINCT host || path AS url, host || '/index.html' AS from_url, 'document' AS kind FROM u UNION SELECT DISTINCT host || '/board/tender.html', host || '/index.html', 'page' FROM u""",
+    "link_discovery": f"""WITH {_WEB} SELECT DISTINCT host || path AS url, 'document' AS kind FROM u UNION SELECT DISTINCT host || '/board/tender-' || k || '.html', 'page' FROM (SELECT DISTINCT host, unnest(range(5)) AS k FROM u)
+ UNION SELECT DISTINCT host || '/board/' || p || '-' || k || '.html', 'page' FROM u, (SELECT unnest(['archive', 'cellar']) AS p)""",
+    "crawled_documents": f"WITH {_WEB} SELECT host || path AS url, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::INT AS depth FROM u WHERE doc_id % 4 <> 3 GROUP BY 1",
     "link_status_counts": """SELECT regexp_extract(source_url, '^https?://([^/]+)', 1) AS host, CASE WHEN http_status BETWEEN 200 AND 299 AND sha256 IS NOT NULL THEN 'downloaded' WHEN http_status IS NULL THEN 'pending' ELSE 'failed' END AS status, count(*) AS n FROM documents GROUP BY 1, 2""",
     "page_of_offset": f"WITH {_SPANS} SELECT doc_id, font_name, arg_max(page, before) FILTER (before <= 500 AND before < {CAP_CHARS})::INT AS page FROM run GROUP BY 1, 2",
 }

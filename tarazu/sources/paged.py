@@ -12,37 +12,80 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
 from urllib.parse import urljoin, urlparse
 from urllib.request import urlopen
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 MOST_PAGES = 400
 
 
+class Refused(OSError):
+    """A host refuses: robots.txt forbids the address, or it answers 429 or 503 to the end."""
+
+
 class Polite:
-    """One host at a time: a delay between requests, retries with back-off, a cap on both."""
+    """One host at a time: robots.txt kept, a delay between requests, retries with back-off, caps on all of them.
+
+    ``fetch`` raises ``HTTPError`` for a status and ``OSError`` for a lost connection. 429
+    and 503 are waited out, by Retry-After if it is given; other statuses of 400 or more
+    are not asked again. An address of http that cannot be reached is tried with https.
+    """
 
-    FLOOR_S, CAP_S, TRIES = 2.0, 30.0, 3
+    FLOOR_S, CAP_S, TRIES, AGENT = 2.0, 30.0, 3, "*"
 
-    def __init__(self, fetch: Callable[[str], bytes], sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
-        self.fetch, self.sleep, self.clock = fetch, sleep, clock
+    def __init__(self, fetch: Callable[[str], bytes], sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, robots: bool = False):
+        self.fetch, self.sleep, self.clock, self.robots = fetch, sleep, clock, robots
         self.last: dict[str, float] = {}
+        self.rules: dict[str, RobotFileParser] = {}
 
-    def get(self, url: str, delay: float = 0.0) -> bytes:
+    def _rules(self, url: str) -> RobotFileParser:
+        root = "{0.scheme}://{0.netloc}".format(urlparse(url))
+        if root not in self.rules:
+            self.rules[root] = rules = RobotFileParser()
+            try:
+                rules.parse(self._wait_and_fetch(f"{root}/robots.txt", self.FLOOR_S).decode("utf-8", "replace").splitlines())
+            except HTTPError as e:  # 401 and 403 close a host, other answers leave it open
+                rules.disallow_all, rules.allow_all = e.code in (401, 403), e.code not in (401, 403)
+            except OSError:
+                rules.allow_all = True
+        return self.rules[root]
+
+    def _wait_and_fetch(self, url: str, wait: float) -> bytes:
         host = urlparse(url).netloc
-        wait = min(self.CAP_S, max(self.FLOOR_S, delay)) if host else 0.0
+        gap = self.last.get(host, -1e9) + wait - self.clock()
+        if gap > 0:
+            self.sleep(min(self.CAP_S, gap))
+        try:
+            return self.fetch(url)
+        finally:
+            self.last[host] = self.clock()
+
+    def get(self, url: str, delay: float = 0.0) -> bytes:
+        web = urlparse(url).scheme in ("http", "https")
+        if web and self.robots:
+            rules = self._rules(url)
+            if not rules.can_fetch(self.AGENT, url):
+                raise Refused(f"robots.txt forbids {url}")
+            delay = max(delay, float(rules.crawl_delay(self.AGENT) or 0))
+        wait = min(self.CAP_S, max(self.FLOOR_S, delay)) if urlparse(url).netloc else 0.0
         for attempt in range(self.TRIES):
-            gap = self.last.get(host, -1e9) + wait * 2**attempt - self.clock()
-            if gap > 0:
-                self.sleep(min(self.CAP_S, gap))
             try:
-                return self.fetch(url)
+                return self._wait_and_fetch(url, min(self.CAP_S, wait * 2**attempt))
+            except HTTPError as e:
+                if e.code not in (429, 503):
+                    raise
+                if attempt == self.TRIES - 1:
+                    raise Refused(f"{e.code} from {url}") from e
+                after = str((e.headers or {}).get("Retry-After", ""))
+                self.sleep(min(self.CAP_S, float(after) if after.isdigit() else wait * 2**attempt))
             except OSError:
                 if attempt == self.TRIES - 1:
+                    if url.startswith("http://"):
+                        return self._wait_and_fetch("https://" + url.removeprefix("http://"), wait)
                     raise
-            finally:
-                self.last[host] = self.clock()
         raise AssertionError
 
 

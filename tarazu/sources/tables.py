@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarazu.functions import labels as lb
+
 ADJUDICATION = "obs_id long, final_label string, basis string, adjudicator string, note string, guideline_version string, decided_at timestamp"
 FONT_FAMILY = "family_id string, label string, n_observations long, n_documents long, example_fonts string, example_text string, threshold double"
 CONVERSION = "run_id string, sha256 string, page int, family_id string, split string, coverage double, invalid_rate_before double, invalid_rate_after double, similarity double"
@@ -38,6 +40,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def offline_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A finished labelling batch (JSON lines): succeeded results only; refusals and failures stay pending."""
+    """A finished labelling batch (JSON lines): succeeded results with a known label and script only.
+
+    Refusals, failures and answers outside the lists stay pending.
+    """
     rows = spark.read.schema("obs_id long, annotator string, round int, label string, script string, status string").json(path)
-    return rows.where("status = 'succeeded'").drop("status")
+    known = lb.same_label(F.col("label")).isin(*lb.LABELS) & (F.col("script").isNull() | F.lower("script").isin(*lb.SCRIPTS))
+    return rows.where((F.col("status") == "succeeded") & known).drop("status")
