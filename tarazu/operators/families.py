@@ -43,11 +43,54 @@ def cosines(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
     return dot.join(norm(a, a_key, "na"), a_key).join(norm(b, b_key, "nb"), b_key).select(a_key, b_key, (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+#: Signs of centroids, and cells of their table, that are sent to the executors (below 100 MB); more are joined sign by sign.
+MOST_CENTROID_SIGNS, MOST_CELLS = 500_000, 10_000_000
+
+
 def nearest(sig: DataFrame, ident: str, cents: DataFrame, family: str) -> DataFrame:
-    """``ident, nearest, cosine``; of equal cosines (to nine digits) the smaller family name wins."""
-    c = cosines(sig, ident, cents.withColumnRenamed(family, "nearest"), "nearest").withColumn("cosine", F.round("cosine", 9))
-    best = F.min_by(F.struct("nearest", "cosine"), F.struct(-F.col("cosine"), F.col("nearest")))
-    return c.groupBy(ident).agg(best.alias("x")).select(ident, "x.*")
+    """``ident, nearest, cosine``; of equal cosines (to nine digits) the smaller family name wins.
+
+    Signatures that share no sign with any centroid are left out.
+    """
+    few = cents.where(F.col(family).isNotNull()).select(family, "ch", "freq").limit(MOST_CENTROID_SIGNS + 1).collect()
+    if len(few) > MOST_CENTROID_SIGNS or len({r[0] for r in few}) * len({r[1] for r in few}) > MOST_CELLS:
+        c = cosines(sig, ident, cents.withColumnRenamed(family, "nearest"), "nearest").withColumn("cosine", F.round("cosine", 9))
+        best = F.min_by(F.struct("nearest", "cosine"), F.struct(-F.col("cosine"), F.col("nearest")))
+        return c.groupBy(ident).agg(best.alias("x")).select(ident, "x.*")
+    # A text has as many different signs as its script, so its row is short.
+    rows = sig.groupBy(F.col(ident).alias("item")).agg(F.collect_list(F.struct("ch", "freq")).alias("s"))
+    rows = rows.select("item", F.col("s.ch").alias("ch"), F.col("s.freq").alias("freq"))
+    names = sorted({r[0] for r in few})
+    signs = {ch: i for i, ch in enumerate(sorted({r[1] for r in few}))}
+    shared = sig.sparkSession.sparkContext.broadcast((names, signs, [(names.index(f), signs[ch], x) for f, ch, x in few]))
+    kind = dict(rows.dtypes)["item"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, signs, cells = shared.value
+        c = np.zeros((len(names), len(signs) + 1))
+        for f, ch, x in cells:
+            c[f, ch] = x
+        norms = np.linalg.norm(c, axis=1)
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                b = whole.slice(lo, 1024)
+                of = np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                at = np.array([signs.get(x, len(signs)) for x in b.column(1).flatten().to_pylist()], np.int64)
+                freq = b.column(2).flatten().to_numpy(zero_copy_only=False)
+                norm = np.sqrt(np.bincount(of, weights=freq * freq, minlength=len(b)))
+                cell, of_cell = np.unique(of * (len(signs) + 1) + at, return_inverse=True)
+                rows_ = np.zeros(len(b) * (len(signs) + 1))
+                rows_[cell] = np.bincount(of_cell, weights=freq)
+                rows_ = rows_.reshape(len(b), -1)
+                rows_[:, -1] = 0.0
+                cosine = np.round(rows_ @ c.T / np.maximum(np.outer(norm, norms), 1e-300), 9)
+                best = cosine.argmax(1)
+                some = np.nonzero((rows_ > 0).any(1) & (cosine.max(1) > 0))[0]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([names[k] for k in best[some]], pa.string()), pa.array(cosine[some, best[some]])], ["item", "nearest", "cosine"])
+
+    schema = f"item {kind}, nearest string, cosine double"
+    found = rows.mapInArrow(run, schema) if names else sig.sparkSession.createDataFrame([], schema)
+    return found.withColumnRenamed("item", ident)
 
 
 class _Greedy:

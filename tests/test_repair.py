@@ -142,3 +142,17 @@ def test_learning_finds_a_known_cipher(spark):
     assert sum(seen) / len(seen) > 0.9, sum(seen) / len(seen)
     assert sum(hits) / len(hits) > 0.6, sum(hits) / len(hits)
     assert mp.learn(df.where("false")).count() == 0
+
+
+def test_nearest_centroid_both_ways(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdef" if i % 2 else "defghi", k=80))) for i in range(60)] + [(100, "z" * 80), (101, "ab" * 40)]
+    sig = long_signatures(rows, spark)
+    cents = spark.createDataFrame([("one", "a", 0.5), ("one", "b", 0.5), ("two", "g", 0.4), ("two", "h", 0.6), ("tie", "a", 0.5), ("tie", "b", 0.5), (None, "z", 1.0)], "family string, ch string, freq double")
+    show = lambda df: {(r["i"], r["nearest"], round(r["cosine"], 9)) for r in df.collect()}
+    a = show(fa.nearest(sig, "i", cents, "family"))
+    monkeypatch.setattr(fa, "MOST_CELLS", 3)
+    assert show(fa.nearest(sig, "i", cents.where("family IS NOT NULL"), "family")) == a and len(a) == 61
+    assert (101, "one", 1.0) in a and 100 not in {x[0] for x in a}
+    monkeypatch.undo()
+    assert fa.nearest(sig, "i", cents.where("false"), "family").count() == 0
