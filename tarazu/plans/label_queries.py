@@ -13,7 +13,7 @@ from tarazu.operators import stats as st
 from tarazu.operators.dedupe import pick
 from tarazu.session import table
 
-SEED, SAMPLE, ANNOTATOR, OTHER = 20250301, "gt-v1", "ann-01", "ann-02"
+SEED, SAMPLE, ANNOTATOR = 20250301, "gt-v1", "ann-01"
 # How many observations each stratum is drawn.
 QUOTAS = {
     "positive/name_legacy": 50,
@@ -180,8 +180,14 @@ def kappa_per_class_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kappa_per_class(spark: SparkSession, d: str) -> DataFrame:
-    """One pair of annotators, as its SQL says; ``kappa_per_class_all`` covers every pair and both rounds."""
-    return st.kappa_per_class(_pairs(spark, d).where(F.col("other") == OTHER))
+    """One annotator against all others together; ``kappa_per_class_all`` has each pair and both rounds."""
+    return st.kappa_per_class(_pairs(spark, d))
+
+
+def ground_truth_view(spark: SparkSession, d: str) -> DataFrame:
+    """Uncontested observations with their label and the draws they came from, if any."""
+    t = _truth(spark, d).select("obs_id", "detector_label", "final_label", "basis")
+    return t.join(_frame(spark, d).select("obs_id", "sample_id", "stratum"), "obs_id", "left")
 
 
 def detector_binary_prf(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +222,7 @@ QUERIES = {
     for f in (
         stratified_sample, per_source_capped_sample, sample_frame, tiered_selection, discard_and_redraw, pending_anti_join, deep_semi_join, next_card_round2,
         adjudication_verdicts, adjudication_next_state, next_disagreement, adjudication_progress, labelling_progress, label_distribution, judgement_validation,
-        document_truth, kappa_overall, kappa_intra, kappa_per_class, kappa_per_class_all, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
+        document_truth, kappa_overall, kappa_intra, kappa_per_class, kappa_per_class_all, ground_truth_view, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
     )
 } | {name: _sweep(x) for name, x in SWEEPS.items()}
 
@@ -303,10 +309,11 @@ WHERE obs_id IN (SELECT obs_id FROM j WHERE annotator = '{ANNOTATOR}' AND round
     "document_truth": f"WITH {_T} SELECT sha256, arg_min(final_label, list_position({list(wf.DOCUMENT_PRIORITY)}, final_label)) AS label FROM truth GROUP BY sha256",
     "kappa_overall": _sql_kappa(_PAIRS, "other"),
     "kappa_intra": _sql_kappa("SELECT x.annotator, x.label AS a, y.label AS b FROM j x JOIN j y ON x.obs_id = y.obs_id AND x.annotator = y.annotator WHERE x.round = 1 AND y.round = 2", "annotator"),
-    "kappa_per_class": f"""WITH {_JUDGED}, pairs AS (SELECT a, b FROM ({_PAIRS}) WHERE other = '{OTHER}'), l AS (SELECT a AS label FROM pairs UNION SELECT b FROM pairs),
+    "kappa_per_class": f"""WITH {_JUDGED}, pairs AS (SELECT a, b FROM ({_PAIRS})), l AS (SELECT a AS label FROM pairs UNION SELECT b FROM pairs),
 g AS (SELECT label, count(*)::DOUBLE AS n, count_if(a = label OR b = label)::BIGINT AS k, count_if((a = label) = (b = label)) AS same, count_if(a = label) AS na, count_if(b = label) AS nb FROM l, pairs GROUP BY label),
 e AS (SELECT label, k, same / n AS o, (na / n) * (nb / n) + ((n - na) / n) * ((n - nb) / n) AS e FROM g),
 r AS (SELECT label, k AS n, CASE WHEN e < 1 - 1e-12 THEN round((o - e) / (1 - e), 6) END AS kappa FROM e) SELECT *, coalesce(kappa < 0.7, false) AS below_floor FROM r""",
+    "ground_truth_view": f"WITH {_T}, {_FRAME} SELECT obs_id, detector_label, final_label, basis, sample_id, stratum FROM truth LEFT JOIN fr USING (obs_id)",
     "detector_binary_prf": f"""WITH {_T}, c AS (SELECT count_if(s AND t)::BIGINT AS tp, count_if(s AND NOT t)::BIGINT AS fp, count_if(NOT s AND t)::BIGINT AS fn, count_if(NOT s AND NOT t)::BIGINT AS tn
  FROM (SELECT coalesce(detector_label IN {fn.POSITIVE}, false) AS s, final_label IN {fn.POSITIVE} AS t FROM truth)) SELECT *, {_sql_prf('tp', 'fp', 'fn')} FROM c""",
     "detector_per_class_prf": f"""WITH {_T}, c AS (SELECT label, count_if(final_label = label)::BIGINT AS n, count_if(final_label = label AND detector_label = label)::BIGINT AS tp, count_if(coalesce(detector_label = label, false))::BIGINT AS said
