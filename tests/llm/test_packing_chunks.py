@@ -106,27 +106,52 @@ def test_piece_rows(spark):
 
 def test_greedy_windows():
     sizes = np.array([5, 5, 4, 3, 3, 2, 1, 1])
-    got = fill(sizes, 10, lambda seed: np.arange(8.0))
+    got = fill(sizes, 10, lambda seed: (np.arange(8), np.arange(8.0)))
     assert sorted(i for w in got for i in w) == list(range(8))
-    assert all(sizes[w].sum() <= 10 for w in got)
+    assert all(sizes[w].sum() <= 10 for w in got) and got[0] == [0, 7, 6, 5]  # by score, then the largest that fits
     assert fill(np.array([], int), 10, None) == []
-    assert fill(np.array([10, 10]), 10, lambda s: np.zeros(2)) == [[0], [1]]
+    assert fill(np.array([10, 10]), 10, None) == [[0], [1]]
+    assert fill(np.array([6, 4, 3]), 10, lambda s: (np.zeros(0, int), np.zeros(0))) == [[0, 1], [2]]
 
 
-def test_bm25_against_brute_force():
-    rng = random.Random(5)
-    docs = [np.unique(rng.choices(range(30), k=8)).astype(np.int32) for _ in range(20)] + [np.zeros(0, np.int32)]
+def test_windows_hold_everything_once():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = rng.integers(1, 60, rng.integers(1, 200))
+        near = lambda seed: (at := rng.permutation(len(sizes))[:20], rng.random(20)[: len(at)])
+        got = fill(sizes, 64, near)
+        assert sorted(i for w in got for i in w) == list(range(len(sizes))) and all(sizes[w].sum() <= 64 for w in got)
+
+
+def bm25(rng, n, vocabulary=30, size=8):
+    docs = [np.unique(rng.choices(range(vocabulary), k=size)).astype(np.int32) for _ in range(n)] + [np.zeros(0, np.int32)]
     counts = [np.array(rng.choices(range(1, 4), k=len(d)), np.uint16) for d in docs]
-    lengths = np.array([len(d) for d in docs], float)
+    lengths = np.array([c.sum() for c in counts], float)
     idf = np.linspace(0.1, 3, 1 << TERM_BITS).astype(np.float32)
+    return docs, counts, lengths, idf
+
+
+def test_bm25_against_brute_force(monkeypatch):
+    docs, counts, lengths, idf = bm25(random.Random(5), 20)
     index = ShardIndex(docs, counts, lengths, idf, lengths.mean())
-    for seed in range(len(docs)):
-        want = np.zeros(len(docs))
-        for j in range(len(docs)):
-            for t, c in zip(docs[j], counts[j].astype(float)):
-                if t in docs[seed]:
-                    want[j] += idf[t] * c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * lengths[j] / lengths.mean()))
-        assert np.allclose(index.scores(seed), want)
+    gone = np.zeros(len(docs), bool)
+    gone[[3, 7]] = True
+    for round_ in range(3):
+        if round_ == 1:
+            index.drop(gone)
+        if round_ == 2:  # few postings read, the candidates scored by all terms
+            monkeypatch.setattr(packing, "POSTINGS", 12)
+            monkeypatch.setattr(packing, "CANDIDATES", 4)
+        for seed in range(len(docs)):
+            want = np.zeros(len(docs))
+            for j in range(len(docs)):
+                for t, c in zip(docs[j], counts[j].astype(float)):
+                    if t in docs[seed] and not (round_ and gone[j]):
+                        want[j] += idf[t] * c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * lengths[j] / lengths.mean()))
+            found, scores = index.like(seed)
+            assert np.allclose(scores, want[found], rtol=1e-4)
+            if round_ < 2:
+                assert set(found) == set(np.nonzero(want)[0])
 
 
 def test_packing(spark, tokens):
@@ -158,8 +183,9 @@ def test_documents_about_the_same_share_a_shard(spark):
     topics = [[f"t{t}word{i}" for i in range(60)] for t in range(6)]
     rows = [(i, " ".join(rng.choices(topics[i % 6] + WORDS, k=60))) for i in range(600)] + [(1000 + i, "copy of one notice") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    share, score = neighbour_recall(df, "doc_id", "text", seeds=100, shard_docs=150)
+    share, score = neighbour_recall(df, "doc_id", "text", seeds=100, shard_docs=250)
     assert share > 0.8 and score > 0.95
+    assert neighbour_recall(df, "doc_id", "text", seeds=100) == (1.0, 1.0)  # one shard, read whole
     held = pack(df, "doc_id", "text", 512, shard_docs=40).collect()
     shards = defaultdict(set)
     for r in held:
