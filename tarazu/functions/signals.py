@@ -26,6 +26,7 @@ COMMON_ENGLISH = (
 PERFONT_MIN_CHARS, PERFONT_ASCII_MIN_LETTERS, DOCUMENT_ASCII_MIN_LETTERS = 200, 200, 300
 PERFONT_MOJIBAKE, PERFONT_ASCII_K, PERFONT_SYMBOL, PERFONT_ENGLISH = 0.15, 0.05, 10.0, 0.15
 SUSPECT_RATE_PER_1K, SUSPECT_MIN_ABS, MIN_DEV_CHARS, SCAN_CHARS_PER_PAGE = 2.0, 5, 100, 25
+HEAD_CHARS = 600
 LOSS_MIN_CHARS, LOSS_MAX_REPLACEMENT, LOSS_MAX_CONTROL = 25, 0.05, 0.05
 
 C, M, V, N, D, WS = cc.CONSONANT, cc.MATRA, cc.VIRAMA, cc.NUKTA, cc.DEVANAGARI, cc.WS
@@ -98,7 +99,7 @@ def with_text_signals(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_page_measures(df: DataFrame, text: str) -> DataFrame:
-    """Add what an extractor comparison needs: loss counts and ratios, dev share, hashes, the loss verdict."""
+    """Add what an extractor comparison needs: loss counts and ratios, dev share, hashes, the loss verdict, and the first characters for display."""
     b = F.col("__b")
     staged = df.withColumn("__b", body(F.coalesce(F.col(text), F.lit(""))))
     counts = {
@@ -108,6 +109,7 @@ def with_page_measures(df: DataFrame, text: str) -> DataFrame:
         "body_dev_chars": count_dense(b, D),
         "text_hash": F.substring(F.sha2(b, 256), 1, 16),
         "bag_hash": bag_hash(b),
+        "head": F.substring(F.coalesce(F.col(text), F.lit("")), 1, HEAD_CHARS),
     }
     n = F.col("n_chars")
     out = staged.withColumns(counts).withColumns(

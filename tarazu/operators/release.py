@@ -56,12 +56,17 @@ def summary(manifest_rows: DataFrame) -> DataFrame:
     return manifest_rows.groupBy("issuing_body").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(v == x).alias(x.lower()) for x in (*VERDICTS, "NONE")))
 
 
+def utc_now() -> Column:
+    """The time of the query as text: 2025-01-31T23:59:59Z."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def write_release(documents: DataFrame, audit: DataFrame, out: str) -> None:
     """manifest.csv and summary.json under ``out``; refused if a column quotes documents."""
     rows = manifest(documents, audit)
     gate(rows.drop("downloaded_at"))
     rows.write.mode("overwrite").option("header", True).csv(f"{out}/manifest.csv")
-    summary(rows).coalesce(1).write.mode("overwrite").json(f"{out}/summary.json")
+    summary(rows).withColumn("exported_at", utc_now()).coalesce(1).write.mode("overwrite").json(f"{out}/summary.json")
 
 
 def summary_json(summary_rows: DataFrame) -> str:

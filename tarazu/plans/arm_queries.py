@@ -99,7 +99,8 @@ def font_extraction_measured(spark: SparkSession, d: str) -> DataFrame:
     key = ["run_id", "sha256", "font_name", "arm"]
     rows = spread(table(spark, d, "font_extraction").dropDuplicates(key).select(*key, "text_sample"), "sha256")
     got = s.with_page_measures(rows, "text_sample")
-    return got.select(*key, F.col("n_chars").alias("sample_chars"), F.round("dev_share", 9).alias("dev_share"), "text_hash", "loss")
+    # Shown beside the figures: the first characters, here as a hash.
+    return got.select(*key, F.col("n_chars").alias("sample_chars"), F.round("dev_share", 9).alias("dev_share"), "text_hash", "loss", F.md5("head").alias("head_md5"))
 
 
 def extraction_with_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +246,7 @@ SQL |= {
     "page_structural_report": _of_pages("structural_report"),
     "page_pairwise_agreement": _of_pages("pairwise_agreement"),
     "page_usable": _of_pages("composite_usable_pages"),
-    "font_extraction_measured": f"SELECT run_id, sha256, font_name, arm, n_chars AS sample_chars, round(dev_share, 9) AS dev_share, text_hash, loss FROM {s.sql_page_measures('(SELECT DISTINCT ON (run_id, sha256, font_name, arm) run_id, sha256, font_name, arm, text_sample FROM font_extraction)', 'text_sample')}",
+    "font_extraction_measured": f"SELECT run_id, sha256, font_name, arm, n_chars AS sample_chars, round(dev_share, 9) AS dev_share, text_hash, loss, md5(substr(coalesce(text_sample, ''), 1, {s.HEAD_CHARS})) AS head_md5 FROM {s.sql_page_measures('(SELECT DISTINCT ON (run_id, sha256, font_name, arm) run_id, sha256, font_name, arm, text_sample FROM font_extraction)', 'text_sample')}",
     "extraction_with_sample": """SELECT run_id, stratum, count(*) AS n, count_if(coalesce(x, false))::BIGINT AS n_drawn FROM (SELECT DISTINCT run_id, sha256, font_name, arm FROM font_extraction)
 LEFT JOIN (SELECT run_id, sha256, max(lower(trim(stratum))) AS stratum, true AS x FROM extraction_sample GROUP BY 1, 2) USING (run_id, sha256) GROUP BY 1, 2""",
     "inventory_vs_spans": f"""WITH i AS (SELECT sha256, font_name, sum(n_pages_seen)::BIGINT AS n_pages FROM (SELECT DISTINCT ON (obs_id) * FROM font_observation) GROUP BY 1, 2),

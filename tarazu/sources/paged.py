@@ -8,6 +8,7 @@ text for ``from_json``. ``file://`` addresses are read as well as http(s).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import time
@@ -139,3 +140,28 @@ def pool_size(exists: Callable[[int], bool], most: int = 1 << 20) -> int:
 def draw_offsets(size: int, n: int, seed: int) -> list[int]:
     """``n`` different offsets below ``size``, the same for the same seed."""
     return sorted(random.Random(seed).sample(range(size), min(n, size)))
+
+
+class TooLarge(ValueError):
+    """A body beyond the cap."""
+
+
+def download(url: str, chunks: Callable[[str], Iterator[bytes]], store: Callable[[str, bytes], None], known: set[str], most: int = 100 << 20) -> tuple[str, int, bool]:
+    """(sha256, size, whether it is new) of a body read piece by piece, hashed as it comes and stored by its hash.
+
+    The first body of a hash wins; beyond ``most`` bytes it is given up. ``known`` holds
+    the hashes stored before and is added to.
+    """
+    digest, parts, size = hashlib.sha256(), [], 0
+    for piece in chunks(url):
+        size += len(piece)
+        if size > most:
+            raise TooLarge(f"more than {most} bytes at {url}")
+        digest.update(piece)
+        parts.append(piece)
+    name = digest.hexdigest()
+    new = name not in known
+    if new:
+        store(name, b"".join(parts))
+        known.add(name)
+    return name, size, new

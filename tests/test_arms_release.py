@@ -114,3 +114,8 @@ def test_incremental_pass(spark, tmp_path):
     run_pass(spark, src, sink, state, ["k"], lambda df: df)
     run_pass(spark, src, sink, state, ["k"], lambda df: df)
     assert {(r["k"], r["v"]) for r in spark.read.parquet(sink).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_time_of_export(spark):
+    now = spark.range(1).select(rl.utc_now().alias("t")).first()["t"]
+    assert len(now) == 20 and now[10] == "T" and now[-1] == "Z"

@@ -205,3 +205,11 @@ def test_crawl_depth_and_cap(spark):
     assert at(lk.crawl(pages, seeds)) == {"r.pdf": 0, "a.pdf": 1, "b.pdf": 1, "a1.pdf": 2}
     assert at(lk.crawl(pages, seeds, most_pages=2)) == {"r.pdf": 0, "a.pdf": 1}
     assert at(lk.crawl(pages, seeds.where("false"))) == {}
+
+
+def test_downloads_by_content():
+    bodies, kept, known = {"a": [b"on", b"e"], "b": [b"one"], "c": [b"x" * 9] * 9}, {}, set()
+    got = [paged.download(u, lambda u: iter(bodies[u]), kept.__setitem__, known, 50) for u in "ab"]
+    assert got[0][0] == got[1][0] and [x[1:] for x in got] == [(3, True), (3, False)] and list(kept.values()) == [b"one"]
+    with pytest.raises(paged.TooLarge):
+        paged.download("c", lambda u: iter(bodies[u]), kept.__setitem__, known, 50)
