@@ -18,11 +18,23 @@ RATIO_GRID = (0.0, 0.001, 0.005, 0.01, 0.02, 0.05, 0.10, 0.20, 0.30, 0.50)
 CHARS_GRID = (0, 10, 25, 50, 100, 200, 400, 800)
 
 
-def _macro(rows: DataFrame, by: str, hit: Column, among: Column, name: str) -> DataFrame:
-    """The mean over bodies of an arm's rate; bodies without a scored page do not count."""
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    per = rows.groupBy(by, "body").agg(F.count_if(yes(among)).alias("den"), F.count_if(yes(among) & yes(hit)).alias("num")).where("den > 0")
-    return per.groupBy(by).agg(F.round(F.avg(F.col("num") / F.col("den")), 6).alias(name))
+_YES = lambda c: F.coalesce(c, F.lit(False))
+
+
+def _by_body(rows: DataFrame, hit: Column, among: Column, **sums: Column) -> DataFrame:
+    """Sums per arm and body: ``n`` rows, ``den`` scored ones, ``num`` hits among them, and whatever else is asked for.
+
+    A report rolls these up by arm, so that pages are measured in one pass for the pooled
+    figures and for the macro averages.
+    """
+    return rows.groupBy("arm", "body").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(_YES(among)).alias("den"), F.count_if(_YES(among) & _YES(hit)).alias("num"), *(c.alias(k) for k, c in sums.items())
+    )
+
+
+def _macro() -> Column:
+    """The mean over bodies of the rate of hits; bodies without a scored page do not count."""
+    return F.round(F.avg(F.when(F.col("den") > 0, F.col("num") / F.col("den"))), 6)
 
 
 def loss_report(pages: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -31,17 +43,20 @@ def loss_report(pages: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     ``errors`` has a row with its ``arm`` for each document the arm could not read; such
     documents have no pages and are counted beside them.
     """
-    n = F.count(F.lit(1))
-    chars = F.greatest(F.sum(F.coalesce("n_chars", F.lit(0))), F.lit(1))
-    got = pages.groupBy("arm").agg(
+    per = _by_body(
+        pages, F.col("loss").isNotNull(), F.lit(True), chars=F.sum(F.coalesce("n_chars", F.lit(0))), empty=F.count_if(_YES(F.col("loss") == "empty")),
+        replaced=F.sum("replacement_chars"), control=F.sum("control_chars"),
+    )
+    n, chars = F.sum("n"), F.greatest(F.sum("chars"), F.lit(1))
+    got = per.groupBy("arm").agg(
         n.alias("pages"),
-        F.round(F.sum("n_chars") / n, 6).alias("chars_per_page"),
-        F.round(F.count_if(F.coalesce(F.col("loss") == "empty", F.lit(False))) / n, 6).alias("empty_share"),
-        F.round(F.sum("replacement_chars") / chars, 9).alias("replacement_share"),
-        F.round(F.sum("control_chars") / chars, 9).alias("control_share"),
-        F.round(F.count_if(F.col("loss").isNotNull()) / n, 6).alias("fail_share"),
+        F.round(F.sum("chars") / n, 6).alias("chars_per_page"),
+        F.round(F.sum("empty") / n, 6).alias("empty_share"),
+        F.round(F.sum("replaced") / chars, 9).alias("replacement_share"),
+        F.round(F.sum("control") / chars, 9).alias("control_share"),
+        F.round(F.sum("num") / n, 6).alias("fail_share"),
+        _macro().alias("fail_macro"),
     )
-    got = got.join(_macro(pages, "arm", F.col("loss").isNotNull(), F.lit(True), "fail_macro"), "arm")
     zero = F.lit(0).cast("long")
     if errors is None:
         return got.withColumn("errors", zero)
@@ -83,32 +98,34 @@ SCORED = ("match", "script_mismatch", "script_excess")
 
 
 def concordance_report(pairs: DataFrame) -> DataFrame:
-    c = lambda *v: F.count_if(F.col("concordance").isin(*v))
-    scored = F.greatest(c(*SCORED), F.lit(1))
-    got = pairs.groupBy("arm").agg(
-        c(*SCORED).alias("scored"),
-        F.round(c("match") / scored, 6).alias("match_share"),
-        F.round(c("script_mismatch") / scored, 6).alias("mismatch_share"),
-        F.round(c("script_excess") / scored, 6).alias("excess_share"),
-        c("no_reference").alias("no_reference"),
-        c("loss").alias("loss"),
+    c = lambda *v: F.count_if(_YES(F.col("concordance").isin(*v)))
+    kind = F.col("concordance")
+    per = _by_body(pairs, kind == "script_mismatch", kind.isin(*SCORED), matched=c("match"), excess=c("script_excess"), unreferenced=c("no_reference"), lost=c("loss"))
+    scored = F.greatest(F.sum("den"), F.lit(1))
+    return per.groupBy("arm").agg(
+        F.sum("den").alias("scored"),
+        F.round(F.sum("matched") / scored, 6).alias("match_share"),
+        F.round(F.sum("num") / scored, 6).alias("mismatch_share"),
+        F.round(F.sum("excess") / scored, 6).alias("excess_share"),
+        F.sum("unreferenced").alias("no_reference"),
+        F.sum("lost").alias("loss"),
+        _macro().alias("mismatch_macro"),
     )
-    macro = _macro(pairs, "arm", F.col("concordance") == "script_mismatch", F.col("concordance").isin(*SCORED), "mismatch_macro")
-    return got.join(macro, "arm", "left")
 
 
 def structural_report(pages: DataFrame) -> DataFrame:
     """Pages that pass the loss gate and hold enough Devanagari: how many are structurally invalid."""
-    scored = pages.where(F.col("loss").isNull() & (F.col("dev_chars") >= s.MIN_DEV_CHARS))
+    scored = _YES(F.col("loss").isNull() & (F.col("dev_chars") >= s.MIN_DEV_CHARS))
     bad = F.col("invalid_rate_per_1k") >= INVALID_MAX
-    n = F.count(F.lit(1))
-    got = scored.groupBy("arm").agg(
-        n.alias("scored"),
-        F.round(F.count_if(bad) / n, 6).alias("invalid_share"),
-        F.round(F.avg("invalid_rate_per_1k"), 6).alias("mean_rate"),
-        F.round(F.count_if(F.col("invalid_matras") > F.col("invalid_matras_nospace")) / n, 6).alias("spurious_space_share"),
-    )
-    return got.join(_macro(scored, "arm", bad, F.lit(True), "invalid_macro"), "arm")
+    spurious = F.count_if(scored & _YES(F.col("invalid_matras") > F.col("invalid_matras_nospace")))
+    # Conditions stand in the sums, not in a filter below which the measures would be taken twice.
+    per = _by_body(pages, bad, scored, rate=F.sum(F.when(scored, F.col("invalid_rate_per_1k"))), spurious=spurious)
+    n = F.sum("den")
+    got = per.groupBy("arm").agg(
+        n.alias("scored"), F.round(F.sum("num") / n, 6).alias("invalid_share"), F.round(F.sum("rate") / n, 6).alias("mean_rate"),
+        F.round(F.sum("spurious") / n, 6).alias("spurious_space_share"), _macro().alias("invalid_macro"),
+    )
+    return got.where("scored > 0")
 
 
 def pairwise_agreement(pages: DataFrame) -> DataFrame:
@@ -117,8 +134,9 @@ def pairwise_agreement(pages: DataFrame) -> DataFrame:
     The arms of a page are gathered in one row (there are a handful of arms), so no pages
     are joined with one another.
     """
-    kept = pages.where((F.col("arm") != REFERENCE) & F.col("loss").isNull())
-    per = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("arm", "text_hash", "bag_hash"))).alias("a"))
+    # No filter by loss, below which the measures would be taken twice.
+    arm = F.when(F.col("loss").isNull(), F.struct("arm", "text_hash", "bag_hash"))
+    per = pages.where(F.col("arm") != REFERENCE).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(arm)).alias("a"))
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform(F.slice(F.col("a"), i + 2, F.size("a")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     got = per.select(F.explode(pairs).alias("p")).select(
         F.col("p.x.arm").alias("arm_a"), F.col("p.y.arm").alias("arm_b"),
@@ -132,8 +150,8 @@ def pairwise_agreement(pages: DataFrame) -> DataFrame:
 
 
 def all_arms_identical(pages: DataFrame) -> DataFrame:
-    kept = pages.where((F.col("arm") != REFERENCE) & F.col("loss").isNull())
-    per = kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("text_hash").alias("h")).where("k >= 2")
+    kept = F.when(F.col("loss").isNull(), F.col("text_hash"))
+    per = pages.where(F.col("arm") != REFERENCE).groupBy("doc_id", "page").agg(F.count(kept).alias("k"), F.size(F.collect_set(kept)).alias("h")).where("k >= 2")
     return per.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("h") == 1).alias("identical"))
 
 
@@ -145,9 +163,11 @@ def usable_pages(pairs: DataFrame) -> DataFrame:
     structural = (F.coalesce("dev_chars", F.lit(0)) >= s.MIN_DEV_CHARS) & (F.coalesce("invalid_rate_per_1k", F.lit(0.0)) >= INVALID_MAX)
     why = F.when(F.col("loss").isNotNull(), "loss").when(F.col("concordance").isin("script_mismatch", "script_excess"), "script").when(structural, "structural").otherwise("usable")
     rows = pairs.withColumn("why", why)
-    n = F.count(F.lit(1))
-    got = rows.groupBy("arm").agg(n.alias("pages"), F.round(F.count_if(F.col("why") == "usable") / n, 6).alias("usable_share"), *(F.count_if(F.col("why") == w).alias(f"by_{w}") for w in ("loss", "script", "structural")))
-    return got.join(_macro(rows, "arm", F.col("why") == "usable", F.lit(True), "usable_macro"), "arm")
+    per = _by_body(rows, F.col("why") == "usable", F.lit(True), **{f"by_{w}": F.count_if(F.col("why") == w) for w in ("loss", "script", "structural")})
+    n = F.sum("n")
+    return per.groupBy("arm").agg(
+        n.alias("pages"), F.round(F.sum("num") / n, 6).alias("usable_share"), *(F.sum(f"by_{w}").alias(f"by_{w}") for w in ("loss", "script", "structural")), _macro().alias("usable_macro")
+    )
 
 
 def font_agreement(fonts: DataFrame, labels: DataFrame) -> DataFrame:

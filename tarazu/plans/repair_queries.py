@@ -53,8 +53,10 @@ def centroid_by_family(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Each page's family by its own signature, beside the family it was drawn under."""
-    sig = fa.signatures(_transcriptions(spark, d), "transcription_id", "legacy_text")
-    cents = fa.centroids(_page_signatures(spark, d), "transcription_id", "family_id")
+    t = _transcriptions(spark, d).select("transcription_id", "family_id", "legacy_text")
+    sig = cut(fa.signatures(t, "transcription_id", "legacy_text"))  # read by the centroids and by the search
+    fams = t.where("family_id IS NOT NULL").select("transcription_id", "family_id")
+    cents = fa.centroids(sig.join(fams, "transcription_id"), "transcription_id", "family_id")
     return fa.nearest(sig, "transcription_id", cents, "family_id").select("transcription_id", F.col("nearest").alias("family_id"), F.round("cosine", 6).alias("cosine"))
 
 
