@@ -196,3 +196,14 @@ def test_documents_about_the_same_share_a_shard(spark):
         if r["doc_id"] < 600:
             same[r["container_id"]].add(r["doc_id"] % 6)
     assert sum(len(x) == 1 for x in same.values()) > 0.8 * len(same)
+
+
+def test_shards_are_bounded_by_their_terms(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for i in range(120)]
+    monkeypatch.setattr(packing, "SHARD_POSTINGS", 2000)
+    held = pack(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4096).collect()
+    shards = defaultdict(set)
+    for r in held:
+        shards[r["container_id"].rpartition("-")[0]].add(r["doc_id"])
+    assert sum(map(len, shards.values())) == 120 and max(map(len, shards.values())) <= 25
