@@ -184,6 +184,15 @@ def kappa_per_class(spark: SparkSession, d: str) -> DataFrame:
     return st.kappa_per_class(_pairs(spark, d))
 
 
+def manual_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The adjudication table after disagreements were settled by hand, as the first annotator labelled them."""
+    v = _verdicts(spark, d)
+    current = v.where("final_label IS NOT NULL").select("obs_id", "final_label", "basis", F.lit("auto").alias("adjudicator"))
+    own = _judgements(spark, d).where((F.col("annotator") == ANNOTATOR) & (F.col("round") == 1)).select("obs_id", F.col("label").alias("final_label"))
+    by_hand = v.where("final_label IS NULL").select("obs_id").join(own, "obs_id").withColumns({"adjudicator": F.lit(ANNOTATOR), "note": F.lit("looked at again")})
+    return wf.resolve(current, by_hand)
+
+
 def ground_truth_view(spark: SparkSession, d: str) -> DataFrame:
     """Uncontested observations with their label and the draws they came from, if any."""
     t = _truth(spark, d).select("obs_id", "detector_label", "final_label", "basis")
@@ -222,7 +231,7 @@ QUERIES = {
     for f in (
         stratified_sample, per_source_capped_sample, sample_frame, tiered_selection, discard_and_redraw, pending_anti_join, deep_semi_join, next_card_round2,
         adjudication_verdicts, adjudication_next_state, next_disagreement, adjudication_progress, labelling_progress, label_distribution, judgement_validation,
-        document_truth, kappa_overall, kappa_intra, kappa_per_class, kappa_per_class_all, ground_truth_view, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
+        document_truth, kappa_overall, kappa_intra, kappa_per_class, kappa_per_class_all, ground_truth_view, manual_resolution, detector_binary_prf, detector_per_class_prf, confusion_top, stratified_estimate,
     )
 } | {name: _sweep(x) for name, x in SWEEPS.items()}
 
@@ -313,6 +322,14 @@ WHERE obs_id IN (SELECT obs_id FROM j WHERE annotator = '{ANNOTATOR}' AND round
 g AS (SELECT label, count(*)::DOUBLE AS n, count_if(a = label OR b = label)::BIGINT AS k, count_if((a = label) = (b = label)) AS same, count_if(a = label) AS na, count_if(b = label) AS nb FROM l, pairs GROUP BY label),
 e AS (SELECT label, k, same / n AS o, (na / n) * (nb / n) + ((n - na) / n) * ((n - nb) / n) AS e FROM g),
 r AS (SELECT label, k AS n, CASE WHEN e < 1 - 1e-12 THEN round((o - e) / (1 - e), 6) END AS kappa FROM e) SELECT *, coalesce(kappa < 0.7, false) AS below_floor FROM r""",
+    "kappa_per_class_all": f"""WITH {_JUDGED}, pairs AS (SELECT 'between' AS kind, '{ANNOTATOR}' AS annotator, other, a, b FROM ({_PAIRS})
+ UNION ALL SELECT 'rounds', x.annotator, x.annotator, x.label, y.label FROM j x JOIN j y ON x.obs_id = y.obs_id AND x.annotator = y.annotator WHERE x.round = 1 AND y.round = 2),
+l AS (SELECT kind, annotator, other, a AS label FROM pairs UNION SELECT kind, annotator, other, b FROM pairs),
+g AS (SELECT kind, annotator, other, label, count(*)::DOUBLE AS n, count_if(a = label OR b = label)::BIGINT AS k, count_if((a = label) = (b = label)) AS same, count_if(a = label) AS na, count_if(b = label) AS nb FROM l JOIN pairs USING (kind, annotator, other) GROUP BY 1, 2, 3, 4),
+e AS (SELECT kind, annotator, other, label, k, same / n AS o, (na / n) * (nb / n) + ((n - na) / n) * ((n - nb) / n) AS e FROM g),
+r AS (SELECT kind, annotator, other, label, k AS n, CASE WHEN e < 1 - 1e-12 THEN round((o - e) / (1 - e), 6) END AS kappa FROM e) SELECT *, coalesce(kappa < 0.7, false) AS below_floor FROM r""",
+    "manual_resolution": f"""WITH {_V} SELECT obs_id, final_label, basis, 'auto' AS adjudicator FROM v WHERE final_label IS NOT NULL
+UNION ALL SELECT obs_id, label, 'adjudicated', '{ANNOTATOR}' FROM v JOIN j USING (obs_id) WHERE final_label IS NULL AND annotator = '{ANNOTATOR}' AND round = 1 AND label IN {lb.LABELS}""",
     "ground_truth_view": f"WITH {_T}, {_FRAME} SELECT obs_id, detector_label, final_label, basis, sample_id, stratum FROM truth LEFT JOIN fr USING (obs_id)",
     "detector_binary_prf": f"""WITH {_T}, c AS (SELECT count_if(s AND t)::BIGINT AS tp, count_if(s AND NOT t)::BIGINT AS fp, count_if(NOT s AND t)::BIGINT AS fn, count_if(NOT s AND NOT t)::BIGINT AS tn
  FROM (SELECT coalesce(detector_label IN {fn.POSITIVE}, false) AS s, final_label IN {fn.POSITIVE} AS t FROM truth)) SELECT *, {_sql_prf('tp', 'fp', 'fn')} FROM c""",

@@ -65,10 +65,10 @@ def replace_children(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Files downloaded again against the first copy of the same name and source."""
-    docs = _docs(spark, d, "doc_id", "sha256", "source_key", "text").select("doc_id", "sha256", "source_key", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("content_hash"))
-    first = dd.pick(docs.where("sha256 IS NOT NULL"), ["sha256"], ["doc_id"]).select("sha256", F.col("content_hash").alias("first_hash"))
-    want = docs.join(first, "sha256", "left").select("doc_id", F.coalesce("first_hash", F.lit("")).alias("content_hash"))
+    """What is found under a file name now against what was first found under it."""
+    docs = _docs(spark, d, "doc_id", "filename", "text").select("doc_id", "filename", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("content_hash"))
+    first = dd.pick(docs.where("filename IS NOT NULL AND content_hash IS NOT NULL"), ["filename"], ["doc_id"]).select("filename", F.col("content_hash").alias("first_hash"))
+    want = docs.join(first, "filename", "left").select("doc_id", F.coalesce("first_hash", F.lit("")).alias("content_hash"))
     return rl.verify_rebuild(want, docs).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -151,8 +151,8 @@ LEFT JOIN (SELECT family_id, count(*) AS n_pages, count(DISTINCT sha256) AS n_fi
 SELECT 'refused' AS outcome, count(*) AS n FROM n SEMI JOIN o USING (obs_id, annotator) UNION ALL SELECT 'appended', count(*) FROM (SELECT DISTINCT obs_id, annotator FROM n ANTI JOIN o USING (obs_id, annotator)) HAVING count(*) > 0""",
     "replace_children": """WITH x AS (SELECT DISTINCT ON (excerpt_id) excerpt_id, obs_id, kind FROM excerpt), v AS (SELECT DISTINCT obs_id FROM x WHERE kind = 'violation')
 SELECT kind, count(*) AS n, count(DISTINCT obs_id) AS n_obs FROM (SELECT * FROM x ANTI JOIN v USING (obs_id) UNION ALL SELECT * FROM x WHERE kind = 'violation') GROUP BY kind""",
-    "verify_rebuild": """WITH h AS (SELECT doc_id, sha256, sha256(text) AS c FROM (SELECT doc_id, sha256, text FROM documents)), f AS (SELECT sha256, c AS first FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS rn FROM h WHERE sha256 IS NOT NULL) WHERE rn = 1)
-SELECT CASE WHEN c IS NULL THEN 'unreachable' WHEN c = coalesce(first, '') THEN 'verified' ELSE 'changed' END AS status, count(*) AS n FROM h LEFT JOIN f USING (sha256) GROUP BY 1""",
+    "verify_rebuild": """WITH h AS (SELECT doc_id, filename, sha256(text) AS c FROM documents), f AS (SELECT filename, c AS first FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY doc_id) AS rn FROM h WHERE filename IS NOT NULL AND c IS NOT NULL) WHERE rn = 1)
+SELECT CASE WHEN c IS NULL THEN 'unreachable' WHEN c = coalesce(first, '') THEN 'verified' ELSE 'changed' END AS status, count(*) AS n FROM h LEFT JOIN f USING (filename) GROUP BY 1""",
     "link_discovery": f"""WITH {_WEB} SELECT DISTINCT host || path AS url, 'document' AS kind FROM u UNION SELECT DISTINCT host || '/board/tender-' || k || '.html', 'page' FROM (SELECT DISTINCT host, unnest(range(5)) AS k FROM u)
  UNION SELECT DISTINCT host || '/board/' || p || '-' || k || '.html', 'page' FROM u, (SELECT unnest(['archive', 'cellar']) AS p)""",
     "crawled_documents": f"WITH {_WEB} SELECT host || path AS url, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::INT AS depth FROM u WHERE doc_id % 4 <> 3 GROUP BY 1",
