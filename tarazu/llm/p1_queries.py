@@ -27,5 +27,23 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual_form(spread(rows, "transcription_id"), COLUMNS).select("transcription_id", "human_text_form", "ocr_text_form").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
-SQL: dict[str, str] = {}
+def p1_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Forms that break a rule; none is to be found.
+
+    Texts that are equal but for the kind and number of blanks have equal forms; a form
+    has single spaces between its words, none at its ends, and no sign that draws nothing
+    besides a joiner; null has no form and every other text has one.
+    """
+    rows = table(spark, d, "transcription").select("transcription_id", *COLUMNS)
+    got = visual_form(spread(rows, "transcription_id"), COLUMNS)
+    apart = (_plain("human_text") == _plain("ocr_text")) & (F.col("human_text_form") != F.col("ocr_text_form"))
+    untidy = [F.col(f"{c}_form").rlike("^ | $|  |[\\t\\n\\r\\u00a0\\u200b\\ufeff\\u00ad\\uff01-\\uff5e]") for c in COLUMNS]
+    missing = [F.col(c).isNull() != F.col(f"{c}_form").isNull() for c in COLUMNS]
+    wrong = F.coalesce(apart, F.lit(False))
+    for c in (*untidy, *missing):
+        wrong = wrong | F.coalesce(c, F.lit(False))
+    return got.where(wrong).select("transcription_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_violations": p1_violations}
+SQL = {"p1_violations": "SELECT 0::BIGINT AS transcription_id WHERE false"}

