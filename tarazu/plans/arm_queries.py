@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarazu.functions import signals as s
 from tarazu.operators import arms as ar
 from tarazu.operators import inventory as fi
-from tarazu.plans.audit_queries import AUDIT, PAGES, _audit, pages_of
+from tarazu.plans.audit_queries import AUDIT, PAGES, _audit
 from tarazu.plans.label_queries import _V, _observations, _verdicts
 from tarazu.session import spread, table
 
