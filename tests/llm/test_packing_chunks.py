@@ -207,3 +207,53 @@ def test_shards_are_bounded_by_their_terms(spark, monkeypatch):
     for r in held:
         shards[r["container_id"].rpartition("-")[0]].add(r["doc_id"])
     assert sum(map(len, shards.values())) == 120 and max(map(len, shards.values())) <= 25
+
+
+@pytest.mark.parametrize("postings, candidates", [(300_000, 384), (1, 1), (40, 4)])
+def test_no_neighbour_is_left_out_of_a_search(monkeypatch, postings, candidates):
+    monkeypatch.setattr(packing, "POSTINGS", postings)
+    monkeypatch.setattr(packing, "CANDIDATES", candidates)
+    rng = random.Random(11)
+    docs, counts, lengths, idf = bm25(rng, 60)
+    index = ShardIndex(docs, counts, lengths, idf, lengths.mean())
+    sizes = np.array([rng.randrange(1, 9) for _ in docs])
+    for seed in range(len(docs)):
+        want = np.zeros(len(docs))
+        for j in range(len(docs)):
+            for t, c in zip(docs[j], counts[j].astype(float)):
+                if t in docs[seed]:
+                    want[j] += idf[t] * c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * lengths[j] / lengths.mean()))
+        assert set(index.like(seed)[0]) == set(np.nonzero(want)[0])
+        fits = (np.arange(len(docs)) != seed) & (sizes <= rng.randrange(2, 9))
+        all_ = np.sort(want[fits & (want > 0)])[::-1]
+        for most in (1, 5, 100):
+            found, scores, whole = index.nearest(index.terms(seed), fits, sizes, most)
+            assert fits[found].all() and np.allclose(scores, want[found], rtol=1e-4)
+            assert np.allclose(scores, all_[:most], rtol=1e-4) and len(scores) == min(most, len(all_))
+            assert whole == (len(all_) <= most)
+            found, scores, _ = index.nearest(index.terms(seed), fits, sizes, most, frequent=next(index.together([seed])))
+            assert fits[found].all() and np.allclose(scores, all_[:most], rtol=1e-4) and len(scores) == min(most, len(all_))
+            if len(all_) > 3:
+                least = all_[2] * (1 - 1e-3)
+                found, scores, whole = index.nearest(index.terms(seed), fits, sizes, most, least)
+                assert np.allclose(scores, all_[all_ >= least * packing.SLACK][:most], rtol=1e-4)
+
+
+def test_partners_come_from_all_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    topics = [[f"t{t}word{i}" for i in range(40)] for t in range(4)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(topics[i % 4] + WORDS, k=rng.randrange(20, 200)))) for i in range(300)], "doc_id long, text string").cache()
+    windows = lambda **k: held(pack(df, "doc_id", "text", 1024, **k))
+    once = windows()
+    assert sorted(i for w in once for i, _ in w) == list(range(300))
+    assert windows(shard_docs=30) == once  # the same containers, however many shards
+    monkeypatch.setattr(packing, "SEEDS", 64)
+    monkeypatch.setattr(packing, "LISTED", 2)  # windows that wait for the next round
+    assert sorted(i for w in windows(shard_docs=30) for i, _ in w) == list(range(300))
+
+
+def held(rows):
+    out = defaultdict(list)
+    for r in rows.collect():
+        out[r["container_id"]].append((r["position"], r["doc_id"]))
+    return sorted([(i, p) for p, i in sorted(w)] for w in out.values())
