@@ -6,7 +6,7 @@ import pytest
 
 from tarazu.llm.chunks import KINDS, Sizes, cut, pieces
 from tarazu.llm import packing
-from tarazu.llm.packing import TERM_BITS, ShardIndex, fill, neighbour_recall, pack
+from tarazu.llm.packing import TERM_BITS, RoundIndex, ShardIndex, document_vectors, fill, neighbour_recall, pack
 from tarazu.llm.tokens import TokenCounter, atoms_of, read_ranks
 from tarazu.llm.words import WordHashes
 
@@ -239,6 +239,38 @@ def test_no_neighbour_is_left_out_of_a_search(monkeypatch, postings, candidates)
                 assert np.allclose(scores, all_[all_ >= least * packing.SLACK][:most], rtol=1e-4)
 
 
+@pytest.mark.parametrize("cells, dense, block", [(1 << 25, 1024, 64), (1 << 25, 1024, 2), (0, 1024, 64), (400, 1, 2)])
+def test_a_round_finds_what_a_shard_finds(monkeypatch, cells, dense, block):
+    monkeypatch.setattr(packing, "CELLS", cells)
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    rng = random.Random(13)
+    docs, counts, lengths, idf = bm25(rng, 80)
+    copies = [docs[5]] * 9
+    docs, counts, lengths = docs + copies, counts + [counts[5]] * 9, np.concatenate((lengths, [lengths[5]] * 9))
+    sizes = np.array([rng.randrange(1, 9) for _ in docs])
+    gone = np.array([rng.random() < 0.2 for _ in docs])
+    arrays = document_vectors(docs, counts, lengths, idf, 8.0)
+    # What lies on disk between the rounds: eight bytes a term of a document.
+    assert sum(x.nbytes for x in arrays.values()) <= 8 * (sum(map(len, docs)) + len(docs) + 1) + 4 * len(arrays["vocabulary"])
+    shard, whole_shard = ShardIndex(docs, counts, lengths, idf, 8.0), ShardIndex(docs, counts, lengths, idf, 8.0)
+    shard.drop(gone)
+    for most in (1, 5, 100):
+        asked = []
+        for seed in range(len(docs)):
+            least = float(rng.choice([0.0, np.sort(whole_shard.like(seed)[1])[-3:][0] if len(docs[seed]) else 0.0]))
+            asked.append((seed, rng.randrange(0, 7), least))
+        index = RoundIndex({k: x.tobytes() for k, x in arrays.items()}, sizes, ~gone & (sizes <= 6))
+        assert set(index.live) == set(np.nonzero(~gone & (sizes <= 6))[0])  # what fits no seed is not looked at
+        got = list(index.nearest([(index.of(docs[seed]), seed, free, least) for seed, free, least in asked], most))
+        for (seed, free, least), (found, scores, whole) in zip(asked, got):
+            fits = ~gone & (sizes <= free) & (np.arange(len(docs)) != seed)
+            want, exact, all_ = shard.nearest(shard.terms(seed), fits, sizes, most, least)
+            assert list(found) == list(want) and list(scores) == list(exact)  # to the last bit, so that ties stay ties
+            assert whole == all_
+
+
 def test_partners_come_from_all_shards(spark, monkeypatch):
     rng = random.Random(12)
     topics = [[f"t{t}word{i}" for i in range(40)] for t in range(4)]
